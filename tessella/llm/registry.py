@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, exact_dedup, mixing, secrets_scan
+from tessella.llm import bpe, exact_dedup, mixing, pii, secrets_scan, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_topk": topk.query,
+    "op2_pii": pii.query,
     "op3_bpe": bpe.query,
     "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_topk": topk.SQL,
     "op4_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
 }
