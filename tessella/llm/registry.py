@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, exact_dedup, mixing, pii, secrets_scan, topk, toxicity
+from tessella.llm import bpe, exact_dedup, mixing, ngram_join, pii, secrets_scan, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe": bpe.query,
     "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_ngram_join": ngram_join.query,
     "op8_toxicity": toxicity.query,
     "op10_secrets": secrets_scan.query,
 }
