@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, exact_dedup, mixing, ngram_join, pii, secrets_scan, topk, toxicity
+from tessella.llm import bpe, exact_dedup, lm_scoring, mixing, ngram_join, pii, secrets_scan, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,9 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": mixing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_warc": warc.query,
     "op8_toxicity": toxicity.query,
+    "op9_lm_scoring": lm_scoring.query,
     "op10_secrets": secrets_scan.query,
 }
 
@@ -25,4 +27,5 @@ SQL: dict[str, str] = {
     "op1_topk": topk.SQL,
     "op4_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_warc": warc.SQL,
 }
