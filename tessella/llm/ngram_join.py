@@ -33,13 +33,14 @@ from tessella.plans.skew import lookup
 #: Up to so many classes a group's pairs are tried directly; a tile of a larger group has so many points.
 SMALL, TILE = 8, 4096
 #: An element is frequent from max(COMMON, rows / SPARSE) sets on: so at most SPARSE times the mean size of a set are.
-COMMON, SPARSE = 50, 2000
+COMMON, SPARSE = 50, 5000
 #: Ids (8 bytes each) of documents to fetch or drop that are broadcast at most; beyond that a shuffled join does it.
 BROADCAST_IDS = 500_000
 #: Elements a worker counts before it merges counts; names of sets it remembers to pass over copies.
 AT_ONCE, REMEMBERED = 2_000_000, 500_000
-#: Bytes of marks for earlier common elements in one tree.
-MARKS = 32 << 20
+#: Of each class the first elements of larger groups that mark where a pair has met before. Marks only save finding a
+#: pair twice; without one it is found again and made distinct.
+MARKS = 16
 
 _INT = np.int64
 
@@ -234,34 +235,22 @@ def _stars(rule: Rule) -> Callable:
     return run
 
 
-def _across(rule: Rule, common) -> Callable:
-    """Pairs of different labels, each at the first element (in the common order) that both sets' lists have."""
+def _across(rule: Rule) -> Callable:
+    """Pairs of different labels, each at the first element that marks both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            h, c = tokens.view(np.uint64), common.value
-            return (c[np.minimum(np.searchsorted(c, h), len(c) - 1)] == h if len(c) else np.zeros(len(h), bool)), h
-
         for table in _runs(batches, _TILE):
             node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-            here_last, here = (x[0] for x in place(table.column("token").to_numpy()[:1].copy()))
-            lists = table.column("tokens").combine_chunks()
-            row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
-            tokens = lists.flatten().to_numpy()
-            last, h = place(tokens.copy())
-            before = (last < here_last) | ((last == here_last) & (h < here))
-            kinds, back, times = np.unique(tokens[before], return_inverse=True, return_counts=True)
-            telling = np.flatnonzero(times > 1)
-            most = max(1, MARKS * 8 // len(node) // 8)
-            if len(telling) > most:  # fewer marks only mean that a pair may be found twice
-                telling = telling[np.argsort(-times[telling], kind="stable")[:most]]
-            columns = np.full(len(kinds), -1)
-            columns[telling] = np.arange(len(telling))
-            at = columns[back]
-            marks = np.zeros((len(node), -(-max(1, len(telling)) // 8)), dtype=np.uint8)
-            r, c = row[before][at >= 0], at[at >= 0]
-            np.bitwise_or.at(marks, (r, c // 8), (1 << (c % 8)).astype(np.uint8))
-            a, b = tree.across(rule, table.column("n").to_numpy().astype(_INT), _points(table.column("point").to_pylist()), label, table.column("side").to_numpy(), marks)
+            lists = table.column("marks").combine_chunks()
+            row, mark = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            before = mark < table.column("token")[0].as_py()
+            row, mark = row[before], mark[before]
+            _, back, times = np.unique(mark, return_inverse=True, return_counts=True)
+            place = np.cumsum(times > 1) - 1  # a mark of one class alone tells nothing
+            row, at = row[times[back] > 1], place[back][times[back] > 1]
+            bits = np.zeros((len(node), -(-max(1, int((times > 1).sum())) // 8)), dtype=np.uint8)
+            np.bitwise_or.at(bits, (row, at // 8), (1 << (at % 8)).astype(np.uint8))
+            a, b = tree.across(rule, table.column("n").to_numpy().astype(_INT), _points(table.column("point").to_pylist()), label, table.column("side").to_numpy(), bits)
             yield _batch(a=_column(np.minimum(node[a], node[b])), b=_column(np.maximum(node[a], node[b])))
 
     return run
@@ -310,15 +299,16 @@ class _Join:
     def points(self, suffix: str = "") -> DataFrame:
         return self.classes.select(F.col("node").alias(f"node{suffix}"), F.col("n").alias(f"n{suffix}"), F.col("point").alias(f"point{suffix}"))
 
-    def tiled(self, members: DataFrame) -> DataFrame:
-        """``members`` (token, node, ...) with points, dealt to tiles and pairs of tiles, sorted for ``_runs``."""
+    def tiled(self, members: DataFrame, about: DataFrame) -> DataFrame:
+        """``members`` (token, node, ...) dealt to tiles and pairs of tiles, with what ``about`` has of their nodes (wide,
+        so it comes last), sorted for ``_runs``."""
         sizes = members.groupBy("token").agg(F.count("*").alias("_members")).select(F.col("token").cast("string").alias("_token"), "_members")
         keyed = members.withColumn("_token", F.col("token").cast("string"))
         sized = lookup(keyed, sizes, "_token", "_members", members.count(), F.col("node"))
         tiles = F.ceil(F.col("_members") / TILE).cast("long")
         dealt = sized.withColumn("side", F.pmod(F.xxhash64("node"), tiles)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
         dealt = dealt.withColumn("i", F.least("side", "_with")).withColumn("j", F.greatest("side", "_with")).drop("_token", "_members", "_with")
-        return dealt.join(self.points(), "node").repartition(*_TILE).sortWithinPartitions(*_TILE)
+        return dealt.join(about, "node").repartition(*_TILE).sortWithinPartitions(*_TILE)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of ``pairs`` (a, b), checked on the whole sets of their documents."""
@@ -339,7 +329,7 @@ class _Join:
         small = small.join(self.points("_a"), F.col("a") == F.col("node_a")).join(self.points("_b"), F.col("b") == F.col("node_b"))
         small = small.select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(_near(rule), "a long, b long")
         large = met.filter("kind = 1").select("token", F.col("a").alias("node"))
-        stars = self.tiled(large).filter("i = j").select(*_TILE, "node", "n", "point").mapInArrow(_stars(rule), "a long, b long")
+        stars = self.tiled(large, self.points()).filter("i = j").select(*_TILE, "node", "n", "point").mapInArrow(_stars(rule), "a long, b long")
         tried = spool(small.union(stars).distinct())
         linked = self.verified(tried)
         first = components(linked)
@@ -347,9 +337,10 @@ class _Join:
         members = large.join(first, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
         mixed = members.groupBy("token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least < _most").select("token")
         members = spool(members.join(mixed, "token", "left_semi"))
-        lists = members.groupBy("node").agg(F.collect_list("token").alias("tokens"))  # at most a prefix per class
-        rest = self.tiled(members.join(lists, "node")).select(*_TILE, "side", "node", "n", "point", "label", "tokens")
-        rest = rest.mapInArrow(_across(rule, self.common), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        # collected per class are at most the elements of its prefix
+        marks = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, MARKS).alias("marks"))
+        rest = self.tiled(members, self.points().join(marks, "node")).select(*_TILE, "side", "node", "n", "point", "label", "marks")
+        rest = rest.mapInArrow(_across(rule), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         rest = spool(rest)
         if rest.isEmpty():
             return first
