@@ -28,7 +28,7 @@ from tessella.plans.lineage import spool
 CLASSES, EACH, DIM, WINDOW = 32, 32, 16, 2
 #: Ids by falling count; the last ones are buckets for all other words, by hash.
 VOCABULARY, OTHERS = CLASSES * EACH, 124
-RATE, BATCH, SEED = 0.1, 4096, 11
+RATE, BATCH, SEED = 0.3, 8192, 11
 #: Distinct words that a task counts before it hands on its counts; words whose id a worker remembers.
 COUNTED, REMEMBERED = 400_000, 300_000
 
@@ -93,12 +93,25 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(ids != PAD)
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of the normaliser)"""
-    top = z.max(axis=1, keepdims=True)
-    e = np.exp(z - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (top + np.log(s))[:, 0]
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(exp(z - top), its row sums, top), in place, with one top for the whole block: logits are within some tens."""
+    top = z.max()
+    z -= top
+    np.exp(z, out=z)
+    return z, np.maximum(z @ np.ones(z.shape[1], dtype=z.dtype), 1e-37), float(top)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e, s, _ = _exp(z)
+    e /= s[:, None]
+    return e
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log probability of one column per row."""
+    own = z[np.arange(len(z)), at].astype(np.float64)
+    _, s, top = _exp(z)
+    return own - top - np.log(s)
 
 
 def _by_class(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -114,11 +127,9 @@ def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray
         rows = at[a : a + BATCH]
         h = np.tanh(sum(w["in"][k][ids[rows + o]] for k, o in enumerate(OFFSETS)))
         target = ids[rows]
-        z = h @ w["class"] + w["class_bias"]
-        got = z[np.arange(len(rows)), target // EACH] - _softmax(z)[1]
+        got = _log_softmax_at(h @ w["class"] + w["class_bias"], target // EACH)
         for c, own in _by_class(target):
-            z = h[own] @ w["word"][c] + w["word_bias"][c]
-            got[own] += z[np.arange(len(own)), target[own] % EACH] - _softmax(z)[1]
+            got[own] += _log_softmax_at(h[own] @ w["word"][c] + w["word_bias"][c], target[own] % EACH)
         out[a : a + BATCH] = got
     return out
 
@@ -145,12 +156,12 @@ class Trainer:
         near = [ids[rows + o] for o in OFFSETS]
         h = np.tanh(sum(w["in"][k][x] for k, x in enumerate(near)))
         target = ids[rows]
-        p = _softmax(h @ w["class"] + w["class_bias"])[0]
+        p = _softmax(h @ w["class"] + w["class_bias"])
         p[np.arange(n), target // EACH] -= 1
         p /= n
         dh = p @ w["class"].T
         for c, own in _by_class(target):
-            q = _softmax(h[own] @ w["word"][c] + w["word_bias"][c])[0]
+            q = _softmax(h[own] @ w["word"][c] + w["word_bias"][c])
             q[np.arange(len(own)), target[own] % EACH] -= 1
             q /= n
             dh[own] += q @ w["word"][c].T
@@ -211,7 +222,7 @@ def fit(docs: DataFrame) -> tuple[list[str], Weights]:
                 ids = vocabulary.ids(text)
                 waiting.append(ids)
                 held += len(ids)
-                if held >= 8 * BATCH:
+                if held >= 4 * BATCH:
                     trainer.learn(*padded(waiting))
                     waiting, held = [], 0
         if held:
