@@ -58,6 +58,7 @@ def run_summarize(spark: SparkSession, source: str, out: str, options: Options)
         write(export.representation_ntriples(summary), "representation.nt")
     if options.export_statistics:
         spark.createDataFrame([(x,) for x in export.to_csv(export.statistics(summary)).splitlines()], "value string").coalesce(1).write.mode(mode).text(f"{prefix}/statistics.csv")
+    spark.createDataFrame([(x,) for x in options.lines()], "value string").coalesce(1).write.mode(mode).text(f"{prefix}/options")
     if options.drawing != "none":
         draw = DRAWINGS[options.drawing]
         write((draw(summary, options.palette) if options.drawing == "plain" else draw(summary)).coalesce(1), "summary.dot")

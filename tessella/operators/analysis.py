@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.vocabulary import DOMAIN, RANGE, SUBCLASS
+from tessella.functions.vocabulary import equals
 from tessella.operators.graph import Graph, ends
 
 
@@ -45,15 +45,15 @@ def object_analysis(graph: Graph) -> DataFrame:
 
 def untyped_ratio(graph: Graph) -> DataFrame:
     """[nodes, typed, ratio]: the share of nodes without a type (by the default type property)."""
-    typed = graph.all.filter(F.col("p") == graph.vocabulary.default_type).select(F.countDistinct("s").alias("typed"))
+    typed = graph.all.filter(equals(F.col("p"), graph.vocabulary.default_type)).select(F.countDistinct("s").alias("typed"))
     nodes = ends(graph.all).agg(F.count("*").alias("nodes"))
     return nodes.crossJoin(typed).select("nodes", "typed", (1 - F.col("typed") / F.col("nodes")).alias("ratio"))  # one row each
 
 
 def statistics(graph: Graph) -> DataFrame:
     """[measure, value]: triples by kind, distinct nodes, data properties and classes."""
-    p = F.col("p")
-    classes = F.when(p.isin(DOMAIN, RANGE) | graph.vocabulary.is_type(p), F.array("o")).when(p == SUBCLASS, F.array("s", "o"))
+    p, v = F.col("p"), graph.vocabulary
+    classes = F.when(equals(p, v.domain) | equals(p, v.range) | v.is_type(p), F.array("o")).when(equals(p, v.subclass), F.array("s", "o"))
     counted = graph.all.select("s", "o", "p", graph.vocabulary.kind(p).alias("kind"), classes.alias("_c"))
     by_kind = counted.agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(f"{k}_triples") for k in ("data", "type", "schema", "generic")], F.countDistinct(F.when(F.col("kind").isin("data", "generic"), p)).alias("data_properties"))
     tall = by_kind.unpivot([], by_kind.columns, "measure", "value")

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.vocabulary import CLASS, PROPERTY, Vocabulary
+from tessella.functions.vocabulary import Vocabulary
 
 TRIPLE = ("s", "p", "o")
 
@@ -54,7 +54,7 @@ class Graph:
         """[node]: subjects of schema triples, objects of schema or type triples, and subjects declared to be a class
         or a property. One pass: each triple names the schema nodes among its ends."""
         v = self.vocabulary
-        p, declared = F.col("p"), F.col("o").isin(CLASS, PROPERTY)
+        p, declared = F.col("p"), v.declares(F.col("o"))
         ends = F.when(v.is_schema(p), F.array("s", "o")).when(v.is_type(p) & declared, F.array("s", "o")).when(v.is_type(p), F.array("o"))
         return self.all.filter(v.is_schema(p) | v.is_type(p)).select(F.explode(ends).alias("node")).distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.vocabulary import DOMAIN, RANGE, SCHEMA, SUBCLASS, SUBPROPERTY
+from tessella.functions.vocabulary import among, equals
 from tessella.operators.components import components
 from tessella.operators.graph import Graph
 from tessella.plans.lineage import spool
@@ -34,10 +34,10 @@ def saturate(graph: Graph) -> DataFrame:
     schema or types can follow from data, and passes repeat until none is new. Schema triples themselves aren't closed.
     """
     v = graph.vocabulary
-    special = [*SCHEMA, *v.types]
+    special, p = (*v.schema, *v.types), F.col("p")
     told = graph.schema
-    upward = told.filter((F.col("p") == SUBPROPERTY) & F.col("o").isin(*special)).limit(1)
-    onto = told.filter(F.col("p").isin(DOMAIN, RANGE) & F.col("s").isin(*special)).limit(1)
+    upward = told.filter(equals(p, v.subproperty) & among(F.col("o"), special)).limit(1)
+    onto = told.filter((equals(p, v.domain) | equals(p, v.range)) & among(F.col("s"), special)).limit(1)
     again = not upward.unionAll(onto).isEmpty()
     triples = graph.all
     n = triples.count() if again else 0
@@ -52,16 +52,16 @@ def saturate(graph: Graph) -> DataFrame:
 
 
 def _pass(graph: Graph) -> DataFrame:
-    v, told = graph.vocabulary, graph.schema
-    supers = closure(told.filter(F.col("p") == SUBPROPERTY)).toDF("p", "q")
-    classes = closure(told.filter(F.col("p") == SUBCLASS)).toDF("o", "c")
+    v, told, p = graph.vocabulary, graph.schema, F.col("p")
+    supers = closure(told.filter(equals(p, v.subproperty))).toDF("p", "q")
+    classes = closure(told.filter(equals(p, v.subclass))).toDF("o", "c")
     used = graph.all
     raised = used.join(supers, "p").select("s", F.col("q").alias("p"), "o")
     every = used.union(raised)
-    # what a property says of its ends: one row per property, role and class, superclasses included
-    ends = told.filter(F.col("p").isin(DOMAIN, RANGE)).select(F.col("s").alias("p"), F.col("p").alias("_role"), F.col("o").alias("o"))
-    ends = ends.union(ends.join(classes, "o").select("p", "_role", F.col("c").alias("o"))).distinct().withColumnRenamed("o", "_class")
-    typed = every.join(ends, "p").select(F.when(F.col("_role") == DOMAIN, F.col("s")).otherwise(F.col("o")).alias("s"), F.lit(v.default_type).alias("p"), F.col("_class").alias("o"))
+    # what a property says of its ends: one row per property, end and class, superclasses included
+    ends = told.filter(equals(p, v.domain) | equals(p, v.range)).select(F.col("s").alias("p"), equals(p, v.domain).alias("_subject"), F.col("o").alias("o"))
+    ends = ends.union(ends.join(classes, "o").select("p", "_subject", F.col("c").alias("o"))).distinct().withColumnRenamed("o", "_class")
+    typed = every.join(ends, "p").select(F.when(F.col("_subject"), F.col("s")).otherwise(F.col("o")).alias("s"), F.lit(v.default_type).alias("p"), F.col("_class").alias("o"))
     lifted = every.filter(v.is_type(F.col("p"))).join(classes, "o").select("s", "p", F.col("c").alias("o"))
     return every.union(typed).union(lifted).distinct()
 
@@ -71,7 +71,7 @@ def top_classes(graph: Graph) -> DataFrame:
 
     Classes on a cycle that nothing is above have no top of their own; there the least of the cycle stands for all.
     """
-    below = graph.schema.filter(F.col("p") == SUBCLASS).filter("s <> o")
+    below = graph.schema.filter(equals(F.col("p"), graph.vocabulary.subclass)).filter("s <> o")
     above = closure(below)
     both = above.alias("x").join(above.alias("y"), (F.col("x.lower") == F.col("y.upper")) & (F.col("x.upper") == F.col("y.lower")))
     cycles = components(both.select(F.col("x.lower").alias("a"), F.col("x.upper").alias("b"))).toDF("lower", "least")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.vocabulary import Vocabulary
+from tessella.operators.graph import Graph
 from tessella.plans.lineage import spool
 
 
@@ -38,6 +40,21 @@ def decode(triples: DataFrame, terms: DataFrame) -> DataFrame:
     return _translate(triples, terms.select(F.col("key").alias("_from"), F.col("value").alias("_to")), missing)
 
 
+def vocabulary_codes(terms: DataFrame, vocabulary: Vocabulary) -> Vocabulary:
+    """The vocabulary in the dictionary's codes; it names some dozens of terms."""
+    known = terms.filter(F.col("value").isin(*vocabulary.terms())).collect()
+    return vocabulary.encoded({r["value"]: r["key"] for r in known})
+
+
+def encoded_graph(graph: Graph) -> tuple[Graph, DataFrame]:
+    """The graph in codes, and its dictionary, which has the default type property in any case: saturation and type
+    edges write it even where no triple has it."""
+    kind = F.lit(graph.vocabulary.default_type)
+    always = graph.all.sparkSession.range(1).select(kind.alias("s"), kind.alias("p"), kind.alias("o"))
+    terms = spool(dictionary(graph.all.union(always)))
+    return Graph(encode(graph.all, terms), vocabulary_codes(terms, graph.vocabulary), distinct=False), terms
+
+
 def _translate(triples: DataFrame, by: DataFrame, missing: Column) -> DataFrame:
     out = triples
     for column in "spo":

@@ -163,6 +163,15 @@ def dot_graph(summary: Summary, palette: str = "light", most: int = 100) -> Data
     return _drawing(nodes.select(box.alias("value")), first.select(arrow.alias("value")))
 
 
+def dot_triples(triples: DataFrame, most: int = MOST) -> DataFrame:
+    """[value]: a table of triples as it is, terms in blue on white."""
+    first = triples.select("s", "p", "o").orderBy("s", "p", "o").limit(most)
+    nodes = first.select(F.explode(F.array("s", "o")).alias("node")).distinct()
+    box = F.concat(F.lit('"'), _escaped(F.col("node")), F.lit('" [label="'), _label(F.col("node")), F.lit('", color=blue, fontcolor=blue];'))
+    arrow = F.concat(F.lit('"'), _escaped(F.col("s")), F.lit('" -> "'), _escaped(F.col("o")), F.lit('" [label="'), _label(F.col("p")), F.lit('", color=blue];'))
+    return _drawing(nodes.select(box.alias("value")), first.select(arrow.alias("value")))
+
+
 def _drawing(*parts: DataFrame) -> DataFrame:
     spark = parts[0].sparkSession
     lines = spark.createDataFrame([(0, "digraph summary {"), (9, "}")], "_at int, value string")

@@ -25,7 +25,7 @@ def save(summary: Summary, path: str, mode: str = "errorifexists") -> dict[str,
     summary.node_support().write.mode(mode).parquet(names["summary_node_stats"])
     summary.edges.write.mode(mode).partitionBy("kind").parquet(names["edges"])
     v = summary.graph.vocabulary
-    told = names | {"kind": summary.kind.name, "default_type": v.default_type, "variant_types": ",".join(v.variant_types)}
+    told = names | {"kind": summary.kind.name, "default_type": str(v.default_type), "variant_types": ",".join(map(str, v.variant_types))}
     spark = summary.rep.sparkSession
     spark.createDataFrame(sorted(told.items()), "role string, name string").coalesce(1).write.mode(mode).json(f"{path}/manifest")
     return told

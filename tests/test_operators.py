@@ -180,6 +180,7 @@ def test_exports(spark):
     for draw in (export.dot_lines, export.dot_split_leaves, export.dot_folded_leaves, export.dot_graph):
         text = export.to_text(draw(summary))
         assert text.startswith("digraph summary {\n") and text.endswith("}\n") and "[" in text
+    assert "color=blue" in export.to_text(export.dot_triples(summary.graph.all))
     told = export.statistics(summary)
     assert told["data_triples"] == 8 and told["type_triples"] == 1 and told["schema_triples"] == 5 and told["summary_nodes"] == 13
     assert export.to_csv({"b": 1, "a": 2}) == "a,b\r\n2,1\r\n"
@@ -188,7 +189,7 @@ def test_exports(spark):
 def test_leaves_split(spark):
     summary = summarize(graph(spark, 'a p "1"\na p "2"\nb p "2"\nc q a'), "2ponefb")
     assert {r.node for r in summary.leaves().collect()} == {'"1"'}
-    assert {(r.p, r.cnt) for r in summary.leaf_support().collect()} == {("<urn:p>", 2)}
+    assert {(r.p, r.cnt) for r in summary.leaf_support().collect()} == {("<urn:p>", 2), ("<urn:p>", 1)}
 
 
 def test_growing_graph_ends_at_the_batch_result(spark, tmp_path):

@@ -12,6 +12,7 @@ from tessella.functions.vocabulary import CLASS, PROPERTY, SCHEMA, TYPE, Vocabul
 from tessella.operators.graph import Graph
 from tessella.operators.quotient import DATA_FIRST, KINDS, TOGETHER, TYPE_FIRST
 from tessella.operators.summary import summarize, summarize_saturated, summarize_shortcut
+from tessella.sources import dictionary
 
 V = Vocabulary()
 
@@ -181,43 +182,48 @@ def test_shortcut_has_the_edges_of_the_saturated_summary(spark, kind):
     assert shape(summarize_shortcut(g, kind)) == shape(summarize_saturated(g, kind))
 
 
+GENERAL = """
+n1 type C:1
+n1 type C:2
+n2 type C:3
+n3 type C:4
+n4 type C:9
+n1 p n2
+n3 p n4
+C:1 sub C:2
+C:2 sub C:3
+C:4 sub C:1
+C:5 sub C:6
+"""
+
+
+@pytest.mark.parametrize("kind", ["typedweak", "typedstrong"])
+def test_general_types_group_and_actual_types_are_counted(spark, kind):
+    t = graphs.term
+    summary = summarize(graph(spark, graphs.triples(GENERAL)), kind, generalise=True)
+    rep = {r.node: r.rep for r in summary.rep.collect()}
+    assert rep[t("n1")] == rep[t("n2")] == rep[t("n3")] != rep[t("n4")]
+    counted = {(r.type, r.cnt) for r in summary.type_histogram().collect() if r.rep == rep[t("n1")]}
+    assert counted == {(t(f"C:{i}"), 1) for i in range(1, 5)}
+    plain = {r.node: r.rep for r in summarize(graph(spark, graphs.triples(GENERAL)), kind).rep.collect()}
+    assert len({plain[t(f"n{i}")] for i in range(1, 5)}) == 4
+
+
 def test_names_share_plans(spark):
     assert len(KINDS) == 15 and len({k.code for k in KINDS.values()}) == 15
     for a, b in (("weak", "2pweak"), ("weak", "2pweakunionfind"), ("strong", "2pstrong"), ("typedweak", "2ptypedweak"), ("typedstrong", "2ptypedstrong")):
         assert KINDS[a].keys is KINDS[b].keys and KINDS[a].family == KINDS[b].family
 
 
-def test_codes_in_place_of_terms(spark):
-    from pyspark.sql import functions as F
-
-    from tessella.sources import dictionary
-
-    triples = [t for t in graphs.triples(graphs.MIXED)]
-    g = graph(spark, triples)
-    terms = dictionary.dictionary(g.all)
+@pytest.mark.parametrize("kind", ["strong", "typedweak", "2pbisim"])
+def test_codes_in_place_of_terms(spark, kind):
+    triples = graphs.triples(graphs.SCHEMA + graphs.MIXED)
+    coded, terms = dictionary.encoded_graph(graph(spark, triples))
     codes = {r.value: r.key for r in terms.collect()}
-    coded = Graph(dictionary.encode(g.all, terms), _Coded(codes))
-    rep = {r.node: r.rep for r in summarize(coded, "strong").rep.collect()}
-    want = {codes[n]: codes.get(r) for n, r in Model(triples).rep("strong").items()}
-    assert {n: (r if r > 0 else None) for n, r in rep.items()} == want
-    assert F is not None
-
-
-class _Coded(Vocabulary):
-    """The default vocabulary in codes."""
-
-    def __init__(self, codes):
-        get = lambda terms: [codes[t] for t in terms if t in codes] or [-99]
-        object.__setattr__(self, "default_type", get([TYPE])[0])
-        object.__setattr__(self, "variant_types", tuple(get(V.variant_types)))
-        object.__setattr__(self, "generic", tuple(get(V.generic)))
-        object.__setattr__(self, "_schema", get(SCHEMA))
-
-    def is_schema(self, p):
-        return p.isin(*self._schema)
-
-    def is_data(self, p):
-        return ~p.isin(*self.types, *self._schema, *self.generic)
+    rep = {r.node: r.rep for r in summarize(coded, kind).rep.collect()}
+    groups = lambda rep: sorted(sorted(n for n in rep if rep[n] == r) for r in set(rep.values()))
+    assert groups(rep) == groups({codes[n]: r for n, r in Model(triples).rep(kind).items()})
+    assert all(r in rep or r < 0 for r in rep.values())
 
 
 def test_wrong_requests_are_told(spark):
