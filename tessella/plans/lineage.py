@@ -30,11 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spool(df: DataFrame) -> DataFrame:
+#: Rows of a file, where the number of rows is known.
+FILE_ROWS = 100_000
+
+
+def spool(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: columnar, compressed, free of lineage.
 
-    Unlike a checkpoint the result is pruned by column and filtered in the scan.
+    Unlike a checkpoint the result is pruned by column and filtered in the scan. Where ``rows``, a bound of its rows,
+    is known, it is written by so many tasks that each has ``each`` of them, four at least: a table of a few rows that
+    comes out of a wide shuffle shouldn't become hundreds of files.
     """
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // each)))
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/spool-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
