@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Texts of 20,000 words have over 100 KB; so many of them are still only tens of MB.
+#: Texts of 20,000 words have over 100 KB; so many of them are still only tens of MB, in the worker and off the JVM's heap.
 ROWS = 512
 
 

@@ -18,7 +18,7 @@ GROUPS, COARSE = 256, 32
 FULL = 255
 LEAF, FAN = 32, 16
 #: Words whose hash a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 _M = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _NONE = np.zeros(0, dtype=np.int64)

@@ -30,7 +30,7 @@ CLASSES, EACH, DIM, WINDOW = 32, 32, 16, 2
 VOCABULARY, OTHERS = CLASSES * EACH, 124
 RATE, BATCH, SEED = 0.3, 8192, 11
 #: Distinct words that a task counts before it hands on its counts; words whose id a worker remembers.
-COUNTED, REMEMBERED = 400_000, 300_000
+COUNTED, REMEMBERED = 200_000, 100_000
 
 PAD = VOCABULARY
 OFFSETS = tuple(o for o in range(-WINDOW, WINDOW + 1) if o)

@@ -50,14 +50,16 @@ def _numbered(sources: DataFrame) -> DataFrame:
     return dealt.join(parts, "_part").withColumn("_place", place + F.col("_before") - 1).drop("_part", "_rows", "_before")
 
 
-def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """``sources`` (source, source_size, ...) with weight and target.
+def targets(sources: DataFrame, rows: int, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """``sources`` (source, source_size, ...; at most ``rows``) with weight and target.
 
     Each round is one aggregate of scalars: what the clamped sources take, and the weight of the others. The level
     only rises, so a clamped source stays clamped, and the loop ends when a round clamps no further one.
     """
     pattern = F.array(*[F.lit(float(w)) for w in weights])
-    table = spool(_numbered(sources).withColumn("weight", F.element_at(pattern, (F.col("_place") % len(weights) + 1).cast("int"))).drop("_place"))
+    sources = spool(sources, rows)
+    n = sources.count()
+    table = spool(_numbered(sources).withColumn("weight", F.element_at(pattern, (F.col("_place") % len(weights) + 1).cast("int"))).drop("_place"), n)
     cap = F.col("source_size") * F.lit(float(epochs))
     total, weight = table.agg(F.sum("source_size"), F.sum("weight")).first()
     wanted, clamped = share * (total or 0), 0
@@ -76,12 +78,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     picked = pick(docs, id_col, text_col, source_col, **{id_col: "long", text_col: "string", source_col: "string"}).toDF("doc_id", "_text", "source")
     rows = spool(picked.select("doc_id", "source", n_words(F.col("_text")).alias("size"), _source_key(F.col("source")).alias("_skey"), _order_key(F.col("doc_id"), seed).alias("_order")))
     sources = rows.groupBy("source", "_skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    filled = targets(sources, weights, share, epochs)
+    n = rows.count()
+    filled = targets(sources, n, weights, share, epochs)
+    n_sources = filled.count()
     goal = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    filled = spool(filled.select("_skey", "source_size", "target", whole.alias("_whole"), F.greatest(goal - whole * F.col("source_size"), F.lit(0)).alias("_more")))
+    filled = spool(filled.select("_skey", "source_size", "target", whole.alias("_whole"), F.greatest(goal - whole * F.col("source_size"), F.lit(0)).alias("_more")), n_sources)
 
-    n = rows.count()
     digits = next((k for k in (2, 3, 4) if n / 16**k <= BUCKET_ROWS), 5)
     bucketed = rows.filter(F.col("size") > 0).withColumn("_bucket", F.substring("_order", 1, digits))
     buckets = bucketed.groupBy("_skey", "_bucket").agg(F.sum("size").alias("_words"))
@@ -94,7 +97,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ties = ties.withColumn("_end", F.col("_before") + F.sum("_tied").over(Window.partitionBy("_skey").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)))
     cut = ties.filter((F.col("_end") >= F.col("_more")) & (F.col("_end") - F.col("_tied") < F.col("_more")))
     cut = cut.select("_skey", F.col("_order").alias("_cut"), "_tied", (F.col("_more") - F.col("_end") + F.col("_tied")).alias("_left"))
-    return rows, spool(filled.join(cut, "_skey", "left"))
+    return rows, spool(filled.join(cut, "_skey", "left"), n_sources)
 
 
 def _with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:

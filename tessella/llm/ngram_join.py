@@ -6,7 +6,8 @@ in common meet there, and nowhere all pairs of a group are made:
 
 1. Small groups give the pairs whose bounds (size, sum of coordinate minima of the count vectors) allow a link.
    Larger ones index their points in an R-tree and give a star: each point to the best leader it may link to. Groups
-   beyond ``TILE`` points are dealt to tiles, and pairs of tiles meet in tasks of their own.
+   beyond ``TILE`` points are dealt to tiles, and pairs of tiles meet in tasks of their own; rows of frequent elements
+   never come together before that.
 2. Surviving pairs are verified on whole sets, and linked classes get labels.
 3. Within the larger groups, pairs of different labels that may link are searched in the tree, each pair at its first
    common element only, and verified. Pairs within a label need no check: they are connected already.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import count_rtree as tree
+from tessella.llm._batches import small_batches
 from tessella.llm.count_rtree import Rule
 from tessella.operators.components import components
 from tessella.plans.columns import pick
@@ -36,8 +38,14 @@ SMALL, TILE = 8, 4096
 COMMON, SPARSE = 50, 5000
 #: Ids (8 bytes each) of documents to fetch or drop that are broadcast at most; beyond that a shuffled join does it.
 BROADCAST_IDS = 500_000
+#: Tasks that the rows of one frequent element are dealt to before they are grouped.
+SALTS = 256
+#: Rounds in which the leaders of a group's tiles are tied to each other.
+ROUNDS = 3
+#: Sets of a file, and pairs of sets that a task verifies.
+SETS = 5000
 #: Elements a worker counts before it merges counts; names of sets it remembers to pass over copies.
-AT_ONCE, REMEMBERED = 2_000_000, 500_000
+AT_ONCE, REMEMBERED = 500_000, 200_000
 #: Of each class the first elements of larger groups that mark where a pair has met before. Marks only save finding a
 #: pair twice; without one it is found again and made distinct.
 MARKS = 16
@@ -107,7 +115,8 @@ def _scan(rule: Rule, seed: int) -> Callable:
 
 
 def _post(rule: Rule, seed: int, common) -> Callable:
-    """(token, node, n) for every element of a set's prefix."""
+    """(token, node, n, salt) for every element of a set's prefix; rows of frequent elements have a salt from 0 on, and
+    so don't come together in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -125,22 +134,26 @@ def _post(rule: Rule, seed: int, common) -> Callable:
                 nodes.append(node)
                 sizes.append(len(h))
             if tokens:
-                each = [len(t) for t in tokens]
-                yield _batch(token=_column(np.concatenate(tokens).view(_INT)), node=_column(np.repeat(np.array(nodes, _INT), each)), n=_column(np.repeat(np.array(sizes, np.int32), each), pa.int32()))
+                each, h = [len(t) for t in tokens], np.concatenate(tokens)
+                node, c = np.repeat(np.array(nodes, _INT), each), common.value
+                frequent = c[np.minimum(np.searchsorted(c, h), len(c) - 1)] == h if len(c) else np.zeros(len(h), bool)
+                salt = np.where(frequent, node % SALTS, -1).astype(np.int32)
+                yield _batch(token=_column(h.view(_INT)), node=_column(node), n=_column(np.repeat(np.array(sizes, np.int32), each), pa.int32()), salt=_column(salt, pa.int32()))
 
     return run
 
 
 def _meet(rule: Rule) -> Callable:
-    """From rows sorted by token and node: pairs of small groups that sizes allow (kind 0), rows of larger (kind 1)."""
+    """From rows sorted by token, salt and node: pairs of small groups that sizes allow (kind 0), rows of larger ones and
+    of frequent elements (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, _INT) for _ in range(3)]  # the last group so far, as more of it may follow
         large = None  # (token, last node) of a group that is known to be large
 
-        def out(token, node, n, last: bool):
+        def out(token, node, n, last: bool, frequent=((), ())):
             nonlocal kept, large
-            pairs, rows = ([], []), ([], [])
+            pairs, rows = ([], []), ([np.array(frequent[0], _INT)], [np.array(frequent[1], _INT)])
             if large is not None and len(token):
                 of = int(np.searchsorted(token != large[0], True)) if (token == large[0]).all() else int((token != large[0]).argmax())
                 if of:
@@ -173,11 +186,17 @@ def _meet(rule: Rule) -> Callable:
             return _batch(kind=_column(np.repeat(np.array([0, 1], np.int32), [len(a), len(t)]), pa.int32()), token=pa.concat_arrays([pa.nulls(len(a), pa.int64()), _column(t)]), a=_column(np.concatenate([a, r])), b=pa.concat_arrays([_column(b), pa.nulls(len(r), pa.int64())]))
 
         for batch in batches:
-            token, node, n = (np.concatenate([k, _array(batch, c)]) for k, c in zip(kept, ("token", "node", "n")))
+            plain = _array(batch, "salt") < 0
+            rows = [_array(batch, c) for c in ("token", "node", "n")]
+            token, node, n = (np.concatenate([k, c[plain]]) for k, c in zip(kept, rows))
+            frequent = [c[~plain] for c in rows[:2]]
+            if not len(token):
+                yield out(token, node, n, False, frequent)
+                continue
             kept = [np.zeros(0, _INT) for _ in range(3)]
             before = np.r_[large[0] if large else token[:1] + 1, token[:-1]], np.r_[large[1] if large else node[:1], node[:-1]]
             fresh = (token != before[0]) | (node != before[1])
-            yield out(token[fresh], node[fresh], n[fresh], False)
+            yield out(token[fresh], node[fresh], n[fresh], False, frequent)
         yield out(*kept, True)
 
     return run
@@ -287,11 +306,11 @@ class _Join:
         for self.seed in range(4):  # 64 bits name a set; should two sets share a name, other names are taken
             self.scanned = spool(self.docs.mapInArrow(_scan(rule, self.seed), _SCANNED))
             rows = self.scanned.filter("kind = 0")
-            self.classes = spool(rows.groupBy("node", "other", "n", "point").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")))
+            self.total = rows.count()
+            self.classes = spool(rows.groupBy("node", "other", "n", "point").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), self.total)
             if self.classes.groupBy("node").count().filter("count > 1").isEmpty():
                 break
         self.rows = rows.select("doc_id", "node", "n")
-        self.total = self.classes.agg(F.sum("rows")).first()[0] or 0
         frequent = self.scanned.filter("kind = 1").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= max(COMMON, self.total // SPARSE))
         common = np.array([r[0] for r in frequent.select("token").collect()], dtype=_INT).view(np.uint64)
         self.common = docs.sparkSession.sparkContext.broadcast(np.sort(common))
@@ -310,38 +329,54 @@ class _Join:
         dealt = dealt.withColumn("i", F.least("side", "_with")).withColumn("j", F.greatest("side", "_with")).drop("_token", "_members", "_with")
         return dealt.join(about, "node").repartition(*_TILE).sortWithinPartitions(*_TILE)
 
+    def starred(self, members: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b) that tie the members (token, node) of each group and tile to its leaders."""
+        return self.tiled(members, self.points()).filter("i = j").select(*_TILE, "node", "n", "point").mapInArrow(_stars(self.rule), "a long, b long")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of ``pairs`` (a, b), checked on the whole sets of their documents."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = spool(nodes.join(self.classes, "node").filter("first_id is not null").select("node", F.col("first_id").alias("doc_id")))
+        n = pairs.count()
+        wanted = spool(nodes.join(self.classes, "node").filter("first_id is not null").select("node", F.col("first_id").alias("doc_id")), 2 * n)
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         texts = self.docs.join(wanted, "doc_id").select("node", "_text")
         sets = texts.mapInArrow(_fetch(self.rule, self.seed), "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
-        sets = spool(sets)
+        sets = spool(sets, 2 * n, SETS)
         told = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
-        return spool(told.select("a", "b", "elements_a", "elements_b").mapInArrow(_verify(self.rule), "a long, b long"))
+        return spool(told.select("a", "b", "elements_a", "elements_b").mapInArrow(_verify(self.rule), "a long, b long"), n, SETS)
 
     def labels(self) -> DataFrame:
         rule = self.rule
-        posted = self.docs.mapInArrow(_post(rule, self.seed, self.common), "token long, node long, n int")
-        met = spool(posted.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_meet(rule), "kind int, token long, a long, b long"))
+        posted = self.docs.mapInArrow(_post(rule, self.seed, self.common), "token long, node long, n int, salt int")
+        met = spool(posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "node").mapInArrow(_meet(rule), "kind int, token long, a long, b long"))
         small = met.filter("kind = 0").select("a", "b").distinct()
         small = small.join(self.points("_a"), F.col("a") == F.col("node_a")).join(self.points("_b"), F.col("b") == F.col("node_b"))
         small = small.select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(_near(rule), "a long, b long")
-        large = met.filter("kind = 1").select("token", F.col("a").alias("node"))
-        stars = self.tiled(large, self.points()).filter("i = j").select(*_TILE, "node", "n", "point").mapInArrow(_stars(rule), "a long, b long")
-        tried = spool(small.union(stars).distinct())
+        n = met.count()
+        large = spool(met.filter("kind = 1").select("token", F.col("a").alias("node")).distinct(), n)
+        tried = spool(small.union(self.starred(large)).distinct(), n)
         linked = self.verified(tried)
         first = components(linked)
 
+        # Tiles of one group have leaders of their own; one class per group and label stands for these, and is tied to
+        # the others' before pairs are sought, so that a group of near copies is one label however many tiles it has.
+        beyond = large.groupBy("token").count().filter(F.col("count") > TILE).select("token")
+        for _ in range(0 if beyond.isEmpty() else ROUNDS):
+            heads = large.join(beyond, "token", "left_semi").join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")).agg(F.min("node").alias("node"))
+            more = spool(self.starred(heads.select("token", "node")).distinct().join(tried, ["a", "b"], "left_anti"), n)
+            if more.isEmpty():
+                break
+            tried, linked = tried.union(more), linked.union(self.verified(more))
+            first = components(linked)
+
         members = large.join(first, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
         mixed = members.groupBy("token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least < _most").select("token")
-        members = spool(members.join(mixed, "token", "left_semi"))
+        members = spool(members.join(mixed, "token", "left_semi"), n)
         # collected per class are at most the elements of its prefix
         marks = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, MARKS).alias("marks"))
         rest = self.tiled(members, self.points().join(marks, "node")).select(*_TILE, "side", "node", "n", "point", "label", "marks")
         rest = rest.mapInArrow(_across(rule), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        rest = spool(rest)
+        rest = spool(rest, n)
         if rest.isEmpty():
             return first
         return components(linked.union(self.verified(rest)))
@@ -356,7 +391,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     an empty result.
     """
     join = _Join(docs, rule, id_col, text_col)
-    labelled = spool(join.classes.filter("n > 0").join(join.labels(), "node", "left").select("node", "first_id", F.col("rows").alias("class_rows"), F.coalesce("label", "node").cast("string").alias("_label")))
+    labelled = spool(join.classes.filter("n > 0").join(join.labels(), "node", "left").select("node", "first_id", F.col("rows").alias("class_rows"), F.coalesce("label", "node").cast("string").alias("_label")), join.total)
     least = labelled.groupBy("_label").agg(F.min("first_id").alias("_least"), F.count("*").alias("_classes"))
     named = lookup(labelled, least, "_label", "_classes", labelled.count(), F.col("node"))
     named = named.select(F.col("node").cast("string").alias("_node"), "class_rows", F.col("_least").alias("component_id"))
@@ -371,7 +406,7 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(size=5, least=80), id_col: str =
     smaller one, and rows without an id stay."""
     found = near_duplicates(docs, rule, id_col, text_col)
     gone = found.groupBy("doc_id").agg(F.max("component_id").alias("_c")).filter("_c < doc_id").select(F.col("doc_id").alias("_gone"))
-    gone = spool(gone)
+    gone = spool(gone, docs.count())
     names = docs.columns
     fresh = docs.toDF(*[f"_in{i}" for i in range(len(names))])
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
@@ -379,4 +414,5 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(size=5, least=80), id_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
