@@ -47,6 +47,7 @@ def test_large_groups_in_tiles(docs, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 2)
     monkeypatch.setattr(ngram_join, "TILE", 4)
     monkeypatch.setattr(ngram_join, "MARKS", 1)
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
     assert ours(ngram_join.near_duplicates(docs, Rule())) == brute(corpus, Rule())
 
 
