@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK = "/tmp/checkpoints/tessella"
@@ -34,15 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
 FILE_ROWS = 100_000
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks for several uses; what a lost executor held is computed again. For tables
+    that are wide, or have many partitions, and need no cut of their lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def spool(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: columnar, compressed, free of lineage.
 
     Unlike a checkpoint the result is pruned by column and filtered in the scan. Where ``rows``, a bound of its rows,
-    is known, it is written by so many tasks that each has ``each`` of them, four at least: a table of a few rows that
-    comes out of a wide shuffle shouldn't become hundreds of files.
+    is known, it is written by so many tasks that each has ``each`` of them: a table of a few rows that comes out of a
+    wide shuffle shouldn't become hundreds of files.
     """
     if rows is not None:
-        df = df.coalesce(max(4, -(-rows // each)))
+        df = df.coalesce(max(1, -(-rows // each)))
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/spool-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
