@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._batches import small_batches
 from tessella.plans.columns import pick
-from tessella.plans.lineage import spool
+from tessella.plans.lineage import hold
 
 CLASSES, EACH, DIM, WINDOW = 32, 32, 16, 2
 #: Ids by falling count; the last ones are buckets for all other words, by hash.
@@ -199,7 +199,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> tuple[list[str], Weights]:
     """(words by rank, weights) from all of ``docs`` (doc_id, _text)."""
     context = docs.sparkSession.sparkContext
-    counted = spool(count_words(docs))
+    counted = hold(count_words(docs))
     ranked = [(r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "word").limit(VOCABULARY - OTHERS).collect()]
     # the buckets of other words: their total, shared out by hash, is known from the words' counts
     bucket = (F.crc32(F.col("word")) % OTHERS).cast("int")
@@ -243,7 +243,7 @@ def fit(docs: DataFrame) -> tuple[list[str], Weights]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["slice", "weights", "tokens"])
 
     kinds = "slice int, weights binary, tokens long"
-    trained = spool(docs.mapInArrow(train, kinds))
+    trained = docs.mapInArrow(train, kinds)
     means = {r["slice"]: r["weights"] for r in trained.repartition("slice").sortWithinPartitions("slice", "tokens", "weights").mapInArrow(average, kinds).collect()}
     if not means:
         return top, first

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.columns import pick
-from tessella.plans.lineage import spool
+from tessella.plans.lineage import hold, spool
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,7 +76,7 @@ def targets(sources: DataFrame, rows: int, weights: Sequence[float] = WEIGHTS, s
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, size, _skey, _order; cutoffs: one row per source)."""
     picked = pick(docs, id_col, text_col, source_col, **{id_col: "long", text_col: "string", source_col: "string"}).toDF("doc_id", "_text", "source")
-    rows = spool(picked.select("doc_id", "source", n_words(F.col("_text")).alias("size"), _source_key(F.col("source")).alias("_skey"), _order_key(F.col("doc_id"), seed).alias("_order")))
+    rows = hold(picked.select("doc_id", "source", n_words(F.col("_text")).alias("size"), _source_key(F.col("source")).alias("_skey"), _order_key(F.col("doc_id"), seed).alias("_order")))
     sources = rows.groupBy("source", "_skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     n = rows.count()
     filled = targets(sources, n, weights, share, epochs)

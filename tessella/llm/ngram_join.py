@@ -29,7 +29,7 @@ from tessella.llm._batches import small_batches
 from tessella.llm.count_rtree import Rule
 from tessella.operators.components import components
 from tessella.plans.columns import pick
-from tessella.plans.lineage import spool
+from tessella.plans.lineage import hold, spool
 from tessella.plans.skew import lookup
 
 #: Up to so many classes a group's pairs are tried directly; a tile of a larger group has so many points.
@@ -43,7 +43,7 @@ SALTS = 256
 #: Rounds in which the leaders of a group's tiles are tied to each other.
 ROUNDS = 3
 #: Sets of a file, and pairs of sets that a task verifies.
-SETS = 5000
+SETS = 1000
 #: Elements a worker counts before it merges counts; names of sets it remembers to pass over copies.
 AT_ONCE, REMEMBERED = 500_000, 200_000
 #: Of each class the first elements of larger groups that mark where a pair has met before. Marks only save finding a
@@ -304,10 +304,10 @@ class _Join:
         self.rule = rule
         self.docs = pick(docs, id_col, text_col, **{id_col: "long", text_col: "string"}).toDF("doc_id", "_text")
         for self.seed in range(4):  # 64 bits name a set; should two sets share a name, other names are taken
-            self.scanned = spool(self.docs.mapInArrow(_scan(rule, self.seed), _SCANNED))
+            self.scanned = hold(self.docs.mapInArrow(_scan(rule, self.seed), _SCANNED))
             rows = self.scanned.filter("kind = 0")
             self.total = rows.count()
-            self.classes = spool(rows.groupBy("node", "other", "n", "point").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), self.total)
+            self.classes = spool(rows.groupBy("node", "other", "n", "point").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), self.total, 10 * SETS)
             if self.classes.groupBy("node").count().filter("count > 1").isEmpty():
                 break
         self.rows = rows.select("doc_id", "node", "n")
@@ -341,14 +341,14 @@ class _Join:
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         texts = self.docs.join(wanted, "doc_id").select("node", "_text")
         sets = texts.mapInArrow(_fetch(self.rule, self.seed), "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
-        sets = spool(sets, 2 * n, SETS)
+        sets = hold(sets)
         told = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
         return spool(told.select("a", "b", "elements_a", "elements_b").mapInArrow(_verify(self.rule), "a long, b long"), n, SETS)
 
     def labels(self) -> DataFrame:
         rule = self.rule
         posted = self.docs.mapInArrow(_post(rule, self.seed, self.common), "token long, node long, n int, salt int")
-        met = spool(posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "node").mapInArrow(_meet(rule), "kind int, token long, a long, b long"))
+        met = hold(posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "node").mapInArrow(_meet(rule), "kind int, token long, a long, b long"))
         small = met.filter("kind = 0").select("a", "b").distinct()
         small = small.join(self.points("_a"), F.col("a") == F.col("node_a")).join(self.points("_b"), F.col("b") == F.col("node_b"))
         small = small.select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(_near(rule), "a long, b long")
