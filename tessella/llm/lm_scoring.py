@@ -4,6 +4,11 @@ A small bidirectional network predicts every token from the ``WINDOW`` tokens on
 embeddings are summed and squashed, a first softmax names the token's class and a second the token within it. The sum
 of the log probabilities of all tokens, each from its neighbours, scores a document.
 
+Words from a number of occurrences on have ids of their own; that number grows as the square root of the corpus, and so
+does the vocabulary, about. All others share ids, buckets by hash; a word's share of its bucket is its count against
+the bucket's, so the probabilities of all words add up to 1. Counts of rare words are too many to send to the
+executors: those words are joined with them.
+
 Nothing is sampled: word counts come from all documents, and training passes over every token once. Each partition
 starts from the unigram model, runs minibatches of Adagrad over its documents in numpy, and hands over its weights and
 number of tokens; the weighted mean is the model. What is gathered so grows with the partitions of the input, while a
@@ -15,6 +20,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt, log, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +33,17 @@ from tessella.plans.columns import pick
 from tessella.plans.lineage import hold
 
 CLASSES, EACH, DIM, WINDOW = 32, 32, 16, 2
-#: Ids by falling count; the last ones are buckets for all other words, by hash.
-VOCABULARY, OTHERS = CLASSES * EACH, 124
+#: Ids by falling count; the last ones are buckets for all other words, by hash. The least vocabulary, its buckets, and
+#: the occurrences, as a multiple of the square root of the number of tokens, from which a word always has its own id.
+VOCABULARY, OTHERS, OWN = CLASSES * EACH, 124, 0.2
 RATE, BATCH, SEED = 0.3, 8192, 11
 #: Distinct words that a task counts before it hands on its counts; words whose id a worker remembers.
 COUNTED, REMEMBERED = 200_000, 100_000
+#: Words in buckets whose counts the workers have; the counts of all others are joined. Occurrences of a word without any.
+KNOWN, UNSEEN = 100_000, 0.5
 
-PAD = VOCABULARY
+#: The last row of the embeddings, whatever their number.
+PAD = -1
 OFFSETS = tuple(o for o in range(-WINDOW, WINDOW + 1) if o)
 
 
@@ -40,15 +51,24 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def sized(own: int) -> tuple[int, int]:
+    """(size of the vocabulary, a square; the first bucket) where ``own`` words have ids of their own."""
+    own = max(own, VOCABULARY - OTHERS)
+    side = isqrt(own * VOCABULARY // (VOCABULARY - OTHERS) - 1) + 1
+    return side * side, own
+
+
 class Vocabulary(dict):
     """Word to id."""
 
     def __init__(self, ranked: list[str]):
-        super().__init__({w: i for i, w in enumerate(ranked[: VOCABULARY - OTHERS])})
+        super().__init__({w: i for i, w in enumerate(ranked)})
         self.fixed = len(self)
+        size, self.first = sized(self.fixed)
+        self.others = size - self.first
 
     def __missing__(self, word: str) -> int:
-        out = VOCABULARY - OTHERS + zlib.crc32(word.encode()) % OTHERS
+        out = self.first + zlib.crc32(word.encode()) % self.others
         if len(self) - self.fixed < REMEMBERED:
             self[word] = out
         return out
@@ -61,15 +81,28 @@ class Vocabulary(dict):
 Weights = dict[str, np.ndarray]
 
 
+class Model(NamedTuple):
+    """``words`` have ids of their own; ``buckets`` are the tokens in each bucket. ``known`` are counts of words in
+    buckets; ``counted`` (word, count) has those of all words, of which ``known`` has the ones from ``known_from`` on."""
+
+    words: list[str]
+    weights: Weights
+    buckets: np.ndarray
+    known: dict[str, int]
+    known_from: int
+    counted: DataFrame
+
+
 def start(counts: np.ndarray, seed: int = SEED) -> Weights:
     """The unigram model: biases are log frequencies, embeddings small and random."""
     rng = np.random.default_rng(seed)
-    p = (counts + 0.5).reshape(CLASSES, EACH)
+    side = isqrt(len(counts))
+    p = (counts + 0.5).reshape(side, side)
     return {
-        "in": rng.normal(0, 0.1, (len(OFFSETS), VOCABULARY + 1, DIM)).astype(np.float32),
-        "class": np.zeros((DIM, CLASSES), dtype=np.float32),
+        "in": rng.normal(0, 0.1, (len(OFFSETS), len(counts) + 1, DIM)).astype(np.float32),
+        "class": np.zeros((DIM, side), dtype=np.float32),
         "class_bias": np.log(p.sum(axis=1) / p.sum()).astype(np.float32),
-        "word": np.zeros((CLASSES, DIM, EACH), dtype=np.float32),
+        "word": np.zeros((side, DIM, side), dtype=np.float32),
         "word_bias": np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32),
     }
 
@@ -114,22 +147,22 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - top - np.log(s)
 
 
-def _by_class(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(target // EACH, kind="stable")
-    cuts = np.searchsorted((target // EACH)[order], np.arange(CLASSES + 1))
+def _by_class(target: np.ndarray, side: int) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort((target // side).astype(np.int16 if side < 2**15 else np.int64), kind="stable")
+    cuts = np.searchsorted((target // side)[order], np.arange(side + 1))
     return [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each token at ``at``, from its neighbours."""
-    out = np.empty(len(at))
+    out, side = np.empty(len(at)), len(w["word"])
     for a in range(0, len(at), BATCH):
         rows = at[a : a + BATCH]
         h = np.tanh(sum(w["in"][k][ids[rows + o]] for k, o in enumerate(OFFSETS)))
         target = ids[rows]
-        got = _log_softmax_at(h @ w["class"] + w["class_bias"], target // EACH)
-        for c, own in _by_class(target):
-            got[own] += _log_softmax_at(h[own] @ w["word"][c] + w["word_bias"][c], target[own] % EACH)
+        got = _log_softmax_at(h @ w["class"] + w["class_bias"], target // side)
+        for c, own in _by_class(target, side):
+            got[own] += _log_softmax_at(h[own] @ w["word"][c] + w["word_bias"][c], target[own] % side)
         out[a : a + BATCH] = got
     return out
 
@@ -152,17 +185,17 @@ class Trainer:
         self.tokens += len(at)
 
     def _batch(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        w, n = self.w, len(rows)
+        w, n, side = self.w, len(rows), len(self.w["word"])
         near = [ids[rows + o] for o in OFFSETS]
         h = np.tanh(sum(w["in"][k][x] for k, x in enumerate(near)))
         target = ids[rows]
         p = _softmax(h @ w["class"] + w["class_bias"])
-        p[np.arange(n), target // EACH] -= 1
+        p[np.arange(n), target // side] -= 1
         p /= n
         dh = p @ w["class"].T
-        for c, own in _by_class(target):
+        for c, own in _by_class(target, side):
             q = _softmax(h[own] @ w["word"][c] + w["word_bias"][c])
-            q[np.arange(len(own)), target[own] % EACH] -= 1
+            q[np.arange(len(own)), target[own] % side] -= 1
             q /= n
             dh[own] += q @ w["word"][c].T
             self._move("word", h[own].T @ q, c)
@@ -196,18 +229,33 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def fit(docs: DataFrame) -> tuple[list[str], Weights]:
-    """(words by rank, weights) from all of ``docs`` (doc_id, _text)."""
+def fit(docs: DataFrame) -> Model:
+    """The model of all of ``docs`` (doc_id, _text)."""
     context = docs.sparkSession.sparkContext
     counted = hold(count_words(docs))
-    ranked = [(r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "word").limit(VOCABULARY - OTHERS).collect()]
-    # the buckets of other words: their total, shared out by hash, is known from the words' counts
-    bucket = (F.crc32(F.col("word")) % OTHERS).cast("int")
-    top = [w for w, _ in ranked]
-    rest = {r["bucket"]: r["count"] for r in counted.filter(~F.col("word").isin(top)).groupBy(bucket.alias("bucket")).agg(F.sum("count").alias("count")).collect()}
-    counts = np.zeros(VOCABULARY)
+    levels = sorted(((r["count"], r["words"]) for r in counted.groupBy("count").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least = OWN * sqrt(sum(c * n for c, n in levels))
+    own = max(VOCABULARY - OTHERS, sum(n for c, n in levels if c >= least))
+    ranked = [(r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "word").limit(own).collect()]
+    top, (size, bucket) = [w for w, _ in ranked], sized(len(ranked))
+    counts = np.zeros(size)
     counts[: len(ranked)] = [c for _, c in ranked]
-    counts[VOCABULARY - OTHERS :] = [rest.get(b, 0) for b in range(OTHERS)]
+    # the buckets of other words: the total of all words, shared out by hash, less that of the words with ids
+    others = size - bucket
+    for r in counted.groupBy((F.crc32(F.col("word")) % others).cast("int").alias("bucket")).agg(F.sum("count").alias("count")).collect():
+        counts[bucket + r["bucket"]] = r["count"]
+    for w, c in ranked:
+        counts[bucket + zlib.crc32(w.encode()) % others] -= c
+    known_from, room = 2**62, len(ranked) + KNOWN
+    for c, n in levels:
+        room -= n
+        if room < 0:
+            break
+        known_from = c
+    known = {r["word"]: r["count"] for r in counted.filter(F.col("count") >= known_from).collect()}
+    for w in top:
+        known.pop(w, None)
+    model = lambda weights: Model(top, weights, counts[bucket:], known, known_from, counted)
     first = start(counts)
     shared = context.broadcast((top, first))
     slices = 64
@@ -246,33 +294,55 @@ def fit(docs: DataFrame) -> tuple[list[str], Weights]:
     trained = docs.mapInArrow(train, kinds)
     means = {r["slice"]: r["weights"] for r in trained.repartition("slice").sortWithinPartitions("slice", "tokens", "weights").mapInArrow(average, kinds).collect()}
     if not means:
-        return top, first
-    return top, unpack(np.frombuffer(b"".join(means[k] for k in range(slices)), np.float32), first)
+        return model(first)
+    return model(unpack(np.frombuffer(b"".join(means[k] for k in range(slices)), np.float32), first))
 
 
-def score(docs: DataFrame, model: tuple[list[str], Weights] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, log_likelihood (the sum, natural log), mean (per token).
 
-    The model is fitted on ``docs`` itself unless given. Null, empty and white texts have no tokens: the sum is 0 and
-    the mean null. Null ids stay null; repeated rows get equal results. An empty table gives an empty result.
+    The model is fitted on ``docs`` itself unless given; a word that it has not seen counts as one that occurs
+    ``UNSEEN`` times. Null, empty and white texts have no tokens: the sum is 0 and the mean null. Null ids stay null;
+    repeated rows get equal results. An empty table gives an empty result.
     """
     rows = pick(docs, id_col, text_col, **{id_col: "long", text_col: "string"}).toDF("doc_id", "_text")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows) if model is None else model)
+    model = fit(rows) if model is None else model
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.buckets, model.known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, weights = shared.value
+        top, weights, buckets, counts = shared.value
         vocabulary = Vocabulary(top)
+        known = {w: log(c) for w, c in counts.items()}
+        share = np.zeros(vocabulary.first + len(buckets))
+        share[vocabulary.first :] = -np.log(np.maximum(buckets, UNSEEN))
         for batch in batches:
-            docs = [vocabulary.ids(t) for t in batch.column(1).to_pylist()]
+            docs, rare, told = [], [], []
+            for text in batch.column(1).to_pylist():
+                ids, found = vocabulary.ids(text), words(text)
+                own, left = 0.0, []
+                for i in np.flatnonzero(ids >= vocabulary.first).tolist():
+                    c = known.get(found[i])
+                    if c is None:
+                        left.append(found[i])
+                    else:
+                        own += c
+                docs.append(ids)
+                rare.append(left)
+                told.append(own + share[ids].sum())
             n = np.array([len(d) for d in docs], dtype=np.int64)
             ids, at = padded(docs)
             sums = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, ids, at))])
             ends = np.cumsum(n)
-            total = sums[ends] - sums[ends - n]
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean"])
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean double")
+            total = sums[ends] - sums[ends - n] + np.array(told)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "n_tokens", "_total", "_rare"])
+
+    scored = hold(rows.mapInArrow(run, "doc_id long, n_tokens long, _total double, _rare array<string>").withColumn("_row", F.monotonically_increasing_id()))
+    counts = model.counted.filter(F.col("count") < model.known_from)
+    rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
+    rare = rare.groupBy("_row").agg(F.sum(F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNSEEN)))).alias("_own"))
+    total = F.col("_total") + F.coalesce("_own", F.lit(0.0))
+    out = scored.drop("_rare").join(rare, "_row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

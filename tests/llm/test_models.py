@@ -125,3 +125,22 @@ def test_scores_are_sums_of_conditional_logs():
 
 def test_language_model_on_no_rows(spark):
     assert lm_scoring.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("known", [0, 100_000])
+def test_language_model_covers_all_words(spark, monkeypatch, known):
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
+    rng = random.Random(6)
+    tokens = [f"w{i}" for i in range(1200)] * 60 + [f"rare{i}" for i in range(800)] + [f"some{i}" for i in range(200)] * 5
+    rng.shuffle(tokens)
+    texts = [" ".join(tokens[i : i + 500]) for i in range(0, len(tokens), 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string").repartition(2)
+    model = lm_scoring.fit(docs)
+    assert len(model.words) == 1200  # the vocabulary grows
+    every = spark.createDataFrame(list(enumerate(sorted(set(tokens)))), "doc_id long, text string")
+    rows = {r.text: r.log_likelihood for r in lm_scoring.score(every, model).join(every, "doc_id").collect()}
+    # texts of one word have equal contexts: the probabilities of all words add up, those of a bucket by count
+    assert sum(np.exp(x) for x in rows.values()) == pytest.approx(1, abs=0.01)
+    bucket = lm_scoring.Vocabulary(model.words)
+    pair = next((a, b) for a in rows for b in rows if a[0] == "r" and b[0] == "s" and bucket[a] == bucket[b])
+    assert rows[pair[1]] - rows[pair[0]] == pytest.approx(np.log(5), abs=1e-6)
