@@ -35,9 +35,8 @@ NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 REACH = 64
 #: Terms are words of four letters or more that are no part of an address.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![._%+-]*[\p{L}\p{N}@_%+-])"
-#: Shares of an entity's information from which a term is generalised or removed, and the least number of documents
-#: that show both: one document says nothing about a corpus.
-GENERALISE, REMOVE, SUPPORT = 0.6, 0.9, 2
+#: Shares of an entity's information from which a term is generalised or removed.
+GENERALISE, REMOVE = 0.6, 0.9
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -120,26 +119,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return spool(rows.select("doc_id", "_key", *counts, told.alias("_base"), near.alias("_near")))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, df_et, risk (PMI / IC) of the pairs with at least ``support`` documents and ``generalise`` risk.
+def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise: float = GENERALISE) -> DataFrame:
+    """entity, term, df_et, risk (PMI / IC) of the pairs with at least ``generalise`` risk, entities of one document too.
 
     Counts are numbers of documents over the whole corpus; pairs and words are made distinct within a row, so all
     shuffles come after partial counts.
     """
     n = max(1, found.count())
     pairs = found.filter(F.size("_near") > 0).select(F.explode(F.array_distinct(F.transform("_near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("_p"))
-    pairs = pairs.groupBy("_p.entity", "_p.term").agg(F.count("*").alias("df_et")).filter(F.col("df_et") >= support)
-    entities = found.filter(F.size("_near") > 0).select(F.explode(F.array_distinct(F.transform("_near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
+    pairs = pairs.groupBy("_p.entity", "_p.term").agg(F.count("*").alias("df_et"))
+    entities = found.filter(F.size("_near") > 0).select(F.explode(F.array_distinct(F.transform("_near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
     text = pick(docs, text_col, **{text_col: "string"}).toDF("_text")
     words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), F.lower))
-    terms = text.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") >= support)
+    terms = text.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     scored = pairs.join(entities, "entity").join(terms, "term")
     pmi = F.log(F.col("df_et") * F.lit(float(n)) / (F.col("df_t") * F.col("df_e")))
     risk = F.when(F.col("df_e") < n, pmi / F.log(F.lit(float(n)) / F.col("df_e"))).otherwise(F.lit(0.0))
     return spool(scored.select("entity", "term", "df_et", risk.alias("risk")).filter(F.col("risk") >= generalise))
 
 
-def find_and_sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+def find_and_sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, removed.
 
     ``spans`` has kind:start:end of all spans, by kind (email, ip, card, phone, term), then start; ``removed`` are the
@@ -147,7 +146,7 @@ def find_and_sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     a text get equal results. An empty table gives an empty result.
     """
     found = find_pii(docs, id_col, text_col)
-    risky = disclosures(docs, found, text_col, generalise, support)
+    risky = disclosures(docs, found, text_col, generalise)
     pair = lambda: F.concat_ws("\u0001", "entity", "term").alias("_pair")
     risky = risky.select(pair(), "df_et", "risk")
     near = found.filter(F.size("_near") > 0).select("_key", F.explode("_near").alias("_n")).select("_key", "_n.*").select("_key", pair(), "s", "e")

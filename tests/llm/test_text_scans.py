@@ -81,6 +81,14 @@ def test_pii_terms_follow_corpus_statistics(spark):
     assert clean == "[TERM] [TERM] [TERM] [EMAIL] about weather"
 
 
+def test_pii_entities_of_one_document(spark):
+    filler = [(100 + i, f"plain words about the weather number {i}") for i in range(40)]
+    text = "Wunderlich writes from once@example.com about weather"
+    rows = {r.doc_id: r for r in pii.find_and_sanitise(spark.createDataFrame([(1, text), *filler], "doc_id long, text string")).collect()}
+    gone = {text[int(a) : int(b)] for a, b in (x.split(":")[1:] for x in rows[1].removed.split(","))}
+    assert gone == {"Wunderlich", "writes", "from"} and rows[1].n_term == 3
+
+
 def test_pii_clashing_columns_repeats_and_empty(clashing, docs, empty):
     order = lambda df: sorted(map(str, df.collect()))
     assert order(pii.find_and_sanitise(clashing)) == order(pii.find_and_sanitise(docs))
