@@ -1,6 +1,6 @@
 """Finding personal data, and information-theoretic sanitisation of what gives it away.
 
-Protected entities are the values of four base patterns. Terms near an entity can reveal it: over the whole corpus,
+Protected entities are the values of four base patterns. Terms of a document with an entity can reveal it: over the whole corpus,
 PMI(t; e) = log(df(t, e) N / (df(t) df(e))) says how much term t tells about entity e, and IC(e) = log(N / df(e)) how
 much there is to tell. A term whose PMI reaches ``REMOVE`` of IC gives the entity away and is removed; from
 ``GENERALISE`` on it is generalised to its kind. Only DataFrame operations.
@@ -31,8 +31,8 @@ PATTERNS = {
 #: A character without which a pattern can't match.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 
-#: Code points on either side of an entity in which terms count as near, whole words only.
-REACH = 64
+#: Matches whose places are summed up together: adding to an array copies it, so long ones are made of short ones.
+CHUNK = 256
 #: Terms are words of four letters or more that are no part of an address.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![._%+-]*[\p{L}\p{N}@_%+-])"
 #: Shares of an entity's information from which a term is generalised or removed.
@@ -91,15 +91,36 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _near(text: Column, m: Column) -> Column:
-    """The terms around a match: array of struct(entity, term, s, e)."""
-    from_ = F.greatest(m["s"] - REACH - 1, F.lit(0))
-    before = F.substring(text, from_ + 1, m["s"] - from_)
-    before = F.when(from_ > 0, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-    after = F.substring(text, m["e"] + 1, F.lit(REACH + 1))
-    after = F.when(m["e"] + F.length(after) < F.length(text), F.regexp_replace(after, r"\S*$", "")).otherwise(after)
-    shift = lambda found, by: F.transform(found, lambda t: F.struct(m["v"].alias("entity"), F.lower(t["v"]).alias("term"), (t["s"] + by).alias("s"), (t["e"] + by).alias("e")))
-    return F.concat(shift(matches(before, TERM), m["s"] - F.length(before)), shift(matches(after, TERM), m["e"]))
+def _words(text: Column) -> Column:
+    """All terms of a text with their places: array of struct(term, s, e)."""
+    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  evaluates ``value`` once
+
+    def within(chunk: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<term:string,s:int,e:int>>)").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + x["gap"]
+            e = s + F.length(x["v"])
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lower(x["v"]).alias("term"), s.alias("s"), e.alias("e")))).alias("out"))
+
+        return F.aggregate(chunk, start, step)
+
+    def starts(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(chunks, start, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def placed(chunks: Column) -> Column:
+        shift = lambda c, by: F.transform(c["out"], lambda x: F.struct(x["term"].alias("term"), (x["s"] + by).alias("s"), (x["e"] + by).alias("e")))
+        return F.flatten(F.zip_with(chunks, starts(chunks), shift))
+
+    def chunked(steps: Column) -> Column:
+        count = F.ceil(F.size(steps) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: within(F.slice(steps, (i - 1) * CHUNK + 1, F.lit(CHUNK))))
+
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    # the last gap, after the last match, has no match to go with
+    steps = F.filter(F.zip_with(found, F.split(text, TERM, -1), lambda v, gap: F.struct(v.alias("v"), F.length(gap).alias("gap"))), lambda x: x["v"].isNotNull())
+    return bound(steps, lambda x: bound(chunked(x), placed))
 
 
 def _told(spans: Column, kind: str) -> Column:
@@ -107,35 +128,47 @@ def _told(spans: Column, kind: str) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, _key, n_email ... n_phone, _base (array of kind:start:end), _near (terms around entities), written to
-    the shared folder: small rows without texts, from which statistics and spans are made."""
+    """doc_id, _key, n_email ... n_phone, _base (array of kind:start:end), _entities (distinct values), _words (all
+    terms of texts with entities), written to the shared folder: statistics and spans are made from these."""
     rows = pick(docs, id_col, text_col, **{id_col: "long", text_col: "string"}).toDF("doc_id", "_text").withColumn("_text", F.coalesce("_text", F.lit("")))
     rows = rows.withColumn("_key", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("_text").cast("string")))
     rows = rows.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()})
     every = F.concat(*[F.col(f"_{k}") for k in KINDS])
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     told = F.concat(*[_told(F.col(f"_{k}"), k) for k in KINDS])
-    near = F.flatten(F.transform(every, lambda m: _near(F.col("_text"), m)))
-    return spool(rows.select("doc_id", "_key", *counts, told.alias("_base"), near.alias("_near")))
+    none = F.expr("cast(array() as array<struct<term:string,s:int,e:int>>)")
+    words = F.when(F.size(every) > 0, _words(F.col("_text"))).otherwise(none)
+    return spool(rows.select("doc_id", "_key", *counts, told.alias("_base"), F.array_distinct(F.transform(every, lambda m: m["v"])).alias("_entities"), words.alias("_words")))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, df_et, risk (PMI / IC) of the pairs with at least ``generalise`` risk, entities of one document too.
+    """_key, term, risk (the greatest PMI / IC of the term with an entity of the text) from ``generalise`` on.
 
-    Counts are numbers of documents over the whole corpus; pairs and words are made distinct within a row, so all
-    shuffles come after partial counts.
+    Counts are numbers of documents over the whole corpus, wherever in a document entity and term are; entities of one
+    document count too. Entities that occur in exactly the same documents have equal figures and count as one group (by
+    128 bits of a sum over the documents), so a text with many entities of its own makes one pair a term.
     """
     n = max(1, found.count())
-    pairs = found.filter(F.size("_near") > 0).select(F.explode(F.array_distinct(F.transform("_near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("_p"))
-    pairs = pairs.groupBy("_p.entity", "_p.term").agg(F.count("*").alias("df_et"))
-    entities = found.filter(F.size("_near") > 0).select(F.explode(F.array_distinct(F.transform("_near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
+    holders = found.filter(F.size("_entities") > 0)
+    entities = holders.select("_key", F.explode("_entities").alias("entity"))
+    mark = lambda *more: F.sum(F.xxhash64("_key", *more).cast("decimal(20,0)")).cast("string")
+    sets = entities.groupBy("entity").agg(F.count("*").alias("df_e"), F.concat_ws("/", mark(), mark(F.lit(1))).alias("group"))
+    groups = lookup(entities, spool(sets), "entity", "df_e", n, F.xxhash64("_key", "entity")).groupBy("_key").agg(F.collect_set(F.struct("group", "df_e")).alias("_groups"))
+    terms_of = F.array_distinct(F.transform("_words", lambda t: t["term"]))
+    near = holders.join(groups, "_key").select("_key", "_groups", F.explode(terms_of).alias("term")).select("_key", "term", F.explode("_groups").alias("_g"))
+    near = near.select("_key", "term", "_g.group", "_g.df_e")
+    pairs = near.groupBy("group", "term").agg(F.count("*").alias("df_et"), F.first("df_e").alias("df_e"))
     text = pick(docs, text_col, **{text_col: "string"}).toDF("_text")
     words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), F.lower))
-    terms = text.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    scored = pairs.join(entities, "entity").join(terms, "term")
+    terms = spool(text.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")))
+    scored = lookup(pairs, terms, "term", "df_t", n, F.xxhash64("group", "term"))
     pmi = F.log(F.col("df_et") * F.lit(float(n)) / (F.col("df_t") * F.col("df_e")))
     risk = F.when(F.col("df_e") < n, pmi / F.log(F.lit(float(n)) / F.col("df_e"))).otherwise(F.lit(0.0))
-    return spool(scored.select("entity", "term", "df_et", risk.alias("risk")).filter(F.col("risk") >= generalise))
+    pair = F.concat_ws("\u0001", "group", "term").alias("_pair")
+    risky = spool(scored.select(pair, "df_et", risk.alias("risk")).filter(F.col("risk") >= generalise))
+    told = lookup(near.select("_key", "term", pair), risky, "_pair", "df_et", n, F.xxhash64("_key", "term")).filter(F.col("risk").isNotNull())
+    # a term that tells about two entities counts by the one it tells most about
+    return told.groupBy("_key", "term").agg(F.max("risk").alias("risk"))
 
 
 def find_and_sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -147,13 +180,10 @@ def find_and_sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     found = find_pii(docs, id_col, text_col)
     risky = disclosures(docs, found, text_col, generalise)
-    pair = lambda: F.concat_ws("\u0001", "entity", "term").alias("_pair")
-    risky = risky.select(pair(), "df_et", "risk")
-    near = found.filter(F.size("_near") > 0).select("_key", F.explode("_near").alias("_n")).select("_key", "_n.*").select("_key", pair(), "s", "e")
-    told = lookup(near, risky, "_pair", "df_et", found.count(), F.xxhash64("_key", "s")).filter(F.col("risk").isNotNull())
-    # a term near two entities counts by the one it tells most about
+    places = found.filter(F.size("_words") > 0).select("_key", F.explode("_words").alias("_w")).select("_key", "_w.*")
+    told = places.join(risky, ["_key", "term"])
     told = told.groupBy("_key", "s", "e").agg(F.max("risk").alias("risk")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "risk"))).alias("_terms"))
-    out = found.drop("_near").join(told, "_key", "left").withColumn("_terms", F.coalesce("_terms", F.expr("cast(array() as array<struct<s:int,e:int,risk:double>>)")))
+    out = found.drop("_entities", "_words").join(told, "_key", "left").withColumn("_terms", F.coalesce("_terms", F.expr("cast(array() as array<struct<s:int,e:int,risk:double>>)")))
     gone = F.filter("_terms", lambda t: t["risk"] >= remove)
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.size("_terms").cast("long").alias("n_term"), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", _told(F.col("_terms"), "term")), ",").alias("spans"), F.array_join(_told(gone, "term"), ",").alias("removed"))
 

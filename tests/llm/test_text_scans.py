@@ -89,6 +89,14 @@ def test_pii_entities_of_one_document(spark):
     assert gone == {"Wunderlich", "writes", "from"} and rows[1].n_term == 3
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    common = "plain words about the weather "
+    text = "Wunderlich 🎉 " + common * 150 + "from once@example.com " + common * 150 + "wunderlich"
+    rows = [(1, text), *((100 + i, common) for i in range(40))]
+    row = next(r for r in pii.find_and_sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == 1)
+    assert [text[int(a) : int(b)] for a, b in (x.split(":")[1:] for x in row.removed.split(","))] == ["Wunderlich", "from", "wunderlich"]
+
+
 def test_pii_clashing_columns_repeats_and_empty(clashing, docs, empty):
     order = lambda df: sorted(map(str, df.collect()))
     assert order(pii.find_and_sanitise(clashing)) == order(pii.find_and_sanitise(docs))
