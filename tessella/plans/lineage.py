@@ -1,27 +1,36 @@
-"""Cutting lineage through the folder that all executors share.
+"""Cutting lineage through the folder that all executors share, and letting go of what was kept on the way.
 
 The folder is the one the session names in ``spark.checkpoint.dir``; a folder of our own is set only where none is
-named (tests and notebooks in local mode).
+named and the session runs in one process (tests and notebooks in local mode).
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK = "/tmp/checkpoints/tessella"
-_spooled: list[tuple[SparkSession, str]] = []
+#: Spooled tables that go when the process ends.
+_spooled: list[tuple[DataFrame, str]] = []
+#: (table, its path or None if held) of the innermost open ``scratch`` block.
+_open: ContextVar[list[tuple[DataFrame, str | None]] | None] = ContextVar("_open", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets a local one as checkpoint folder where the session has none."""
+    """The shared folder; sets a local one as checkpoint folder where a local session has none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or _FALLBACK)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints/tessella")
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
@@ -38,7 +47,7 @@ FILE_ROWS = 100_000
 def hold(df: DataFrame) -> DataFrame:
     """Keep ``df`` on the executors' disks for several uses; what a lost executor held is computed again. For tables
     that are wide, or have many partitions, and need no cut of their lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    return _noted(df.persist(StorageLevel.DISK_ONLY), None)
 
 
 def spool(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
@@ -53,16 +62,55 @@ def spool(df: DataFrame, rows: int | None = None, each: int = FILE_ROWS) -> Data
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/spool-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _spooled.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return _noted(df.sparkSession.read.schema(schema).parquet(path), path)
+
+
+def _noted(df: DataFrame, path: str | None) -> DataFrame:
+    mine = _open.get()
+    if mine is not None:
+        mine.append((df, path))
+    elif path is not None:
+        _spooled.append((df, path))
+    return df
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Whatever is held or spooled within the block goes at its end, but for tables that were passed to the function
+    that the block gets: those belong to the block around it. What leaves the block may only be made of these."""
+    outer, mine, kept = _open.get(), [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    token = _open.set(mine)
+    try:
+        yield keep
+    finally:
+        _open.reset(token)
+        for df, path in mine:
+            if not any(df is k for k in kept):
+                _drop(df, path)
+            elif outer is not None:
+                outer.append((df, path))
+            elif path is not None:
+                _spooled.append((df, path))
+
+
+def _drop(df: DataFrame, path: str | None) -> None:
+    if path is None:
+        df.unpersist()
+        return
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _drop_spooled() -> None:
-    for spark, path in _spooled:
+    for df, path in _spooled:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _drop(df, path)
         except Exception:  # noqa: BLE001  the session may have ended; the folder's owner cleans up then
             return

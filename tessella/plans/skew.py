@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot keys, whatever the data.
-HOT_SHARE = 1 / 1000
+#: A key is hot above this share of the rows, and in any case above ``HOT_ROWS`` rows, which is what one task should get
+#: of one key; but there are never more than ``HOT_KEYS`` hot keys, since they are broadcast.
+HOT_SHARE, HOT_ROWS, HOT_KEYS = 1 / 1000, 1_000_000, 50_000
+
+
+def hot_limit(rows: int) -> int:
+    """Rows above which a key is hot, if there are ``rows`` in all; at most ``HOT_KEYS`` keys can have more."""
+    return max(1, int(min(rows * HOT_SHARE, max(HOT_ROWS, rows / HOT_KEYS))))
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, spread: Column) -> DataFrame:
     """``left`` with the other columns of ``right``, which has one row per ``key`` (a string, not null).
 
-    ``weight`` is the number of rows of ``left`` that have the key and ``rows`` the number of all. Keys above
-    ``HOT_SHARE`` are at most a thousand and are broadcast; their rows of ``left`` get a key of their own made of
-    ``spread`` in the shuffled join that serves all other keys, so no task gets a hot key's rows together.
+    ``weight`` is the number of rows of ``left`` that have the key and ``rows`` the number of all. Hot keys (see
+    ``hot_limit``) are broadcast; their rows of ``left`` get a key of their own made of ``spread`` in the shuffled join
+    that serves all other keys, so no task gets a hot key's rows together.
     """
     values = [c for c in right.columns if c != key]
-    limit = max(1, int(rows * HOT_SHARE))
+    limit = hot_limit(rows)
     hot = right.filter(F.col(weight) > limit).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values])
     cold = right.filter(F.col(weight) <= limit).select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in values])
     near = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
