@@ -92,15 +92,28 @@ class Rule:
     size: int = 4
     least: int = 85
 
+    def counted(self) -> np.uint64:
+        """Elements below this hash are counted over the corpus: half as many again as a set's first elements are."""
+        return np.uint64(min(2**64 - 1, int(2**64 * 1.5 * (100 - self.least) / 100)))
+
+    def first(self, n: int, level: np.ndarray) -> np.ndarray:
+        """Places, in a sorted set of ``n`` elements, of those of which two linked sets share at least one: the first
+        n - ceil(L n / 100) + 1 in an order that all sets have in common, by level and then by hash."""
+        most = n - -(-self.least * n // 100) + 1 if n else 0
+        if not level.any():
+            return np.arange(most)
+        order = np.flatnonzero(level == 0)[:most]
+        if len(order) < most:
+            rest = np.flatnonzero(level)
+            order = np.concatenate([order, rest[np.argsort(level[rest], kind="stable")]])[:most]
+        return order
+
     def prefix(self, h: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """The elements of which two linked sets share at least one: the first n - ceil(L n / 100) + 1 in an order
-        that all sets have in common, here by hash with the elements in ``common`` (sorted) last."""
-        n = len(h)
-        if len(common) and n:
-            at = np.searchsorted(common, h)
-            last = common[np.minimum(at, len(common) - 1)] == h
-            h = np.concatenate([h[~last], h[last]])
-        return h[: n - -(-self.least * n // 100) + 1] if n else h
+        """The first elements of a set in the order by hash with the elements in ``common`` (sorted) last."""
+        level = np.zeros(len(h), dtype=np.uint8)
+        if len(common) and len(h):
+            level[common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h] = 1
+        return h[self.first(len(h), level)]
 
     def sizes(self, na, nb):
         return 100 * np.minimum(na, nb) >= self.least * np.maximum(na, nb)
@@ -114,12 +127,38 @@ class Rule:
 
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         """The exact check, on two sorted sets."""
-        if not len(a) or not len(b) or not self.sizes(len(a), len(b)):
+        return self.enough_shared(len(a), len(b), _equal(a, b))
+
+    def enough_shared(self, na: int, nb: int, shared: int) -> bool:
+        return bool(na and nb) and 100 * shared >= self.least * (na + nb - shared)
+
+    def links_by_half(self, a: np.ndarray, b: np.ndarray) -> bool | None:
+        """The check on the sorted lower halves of two sets' hashes: False and True are certain, None is not.
+
+        Halves agree wherever elements do, so too few equal halves are no link. Of the others a few may agree by chance;
+        more than ``by_chance`` of them don't."""
+        na, nb = len(a), len(b)
+        if not na or not nb or not self.sizes(na, nb):
+            return False
+        shared = _equal(a, b)
+        if not self.enough_shared(na, nb, shared):
             return False
-        both = np.concatenate([a, b])
-        both.sort(kind="stable")
-        n = int((both[1:] == both[:-1]).sum())
-        return 100 * n >= self.least * (len(both) - n)
+        return True if self.enough_shared(na, nb, shared - by_chance(na + nb)) else None
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def by_chance(n: int) -> int:
+    """So many agreements by chance among ``n`` values of 32 bits that more have a probability below 1e-15."""
+    mean, k, tail = n * n / 2 / 2**32, 1, n * n / 2 / 2**32
+    while tail > 1e-15 or k < mean:
+        k += 1
+        tail *= mean / k
+    return k
 
 
 class Tree:

@@ -51,6 +51,70 @@ def test_large_groups_in_tiles(docs, corpus, monkeypatch):
     assert ours(ngram_join.near_duplicates(docs, Rule())) == brute(corpus, Rule())
 
 
+def test_hot_and_uncounted_elements(docs, corpus, monkeypatch):
+    """All elements salted, and none known to be frequent."""
+    monkeypatch.setattr(ngram_join, "HOT", 0)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    assert ours(ngram_join.near_duplicates(docs, Rule(5, 80))) == brute(corpus, Rule(5, 80))
+
+
+def test_rows_without_an_id_are_bridges(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b = words[:], words[:]
+    a[:8] = [f"a{i}" for i in range(8)]
+    b[-8:] = [f"b{i}" for i in range(8)]
+    rows = [(1, " ".join(a)), (None, " ".join(words)), (2, " ".join(b)), (None, "so many other words that link with nothing"), (None, "so many other words that link with nothing")]
+    rows += [(9, " ".join(a)), (9, "the id again and another text of its own"), (5, "not like any of the other rows that are here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(df)
+    assert ours(got) == brute(rows, Rule())
+    assert {r.component_id for r in got.collect() if r.doc_id in (1, 2)} == {1}
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(df, Rule()).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[3], rows[4], rows[6], rows[7]], key=str)
+
+
+def test_too_many_shared_names_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "hold", lambda df: df.withColumn("_two", ngram_join.F.lit(True)) if "_two" in df.columns else df)
+    with pytest.raises(RuntimeError, match="64-bit names"):
+        ngram_join.near_duplicates(docs)
+
+
+def test_rare_elements_come_first():
+    rng = np.random.default_rng(3)
+    rule = Rule()
+    h = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    low = h[h < rule.counted()]
+    known = ngram_join.Frequent(rule, low[:10].astype(np.uint32), np.arange(10, 0, -1).astype(np.uint8))
+    level = known.level(h)
+    assert list(np.flatnonzero(level)) == list(range(10)) and level[0] == 10
+    at = rule.first(len(h), level)
+    assert len(at) == len(rule.prefix(h, h[:0])) and not level[at].any()
+    every = rule.first(12, np.r_[level[:10], 0, 0].astype(np.uint8))
+    assert list(every) == [10, 11][: len(every)]
+
+
+def test_packed_elements_round_trip():
+    rng = np.random.default_rng(4)
+    for n, most in ((1, 2**32), (1000, 2**32), (5000, 2**20), (3000, 3000)):
+        t = np.sort(rng.integers(0, most, n).astype(np.uint32))
+        assert np.array_equal(ngram_join._unpacked(ngram_join._packed(t)), t)
+
+
+def test_halves_of_hashes_never_contradict_the_whole():
+    rng = np.random.default_rng(5)
+    rule, told = Rule(), []
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, int(len(a) * rng.uniform(0.85, 1)), replace=False), rng.integers(0, 2**63, rng.integers(0, 1 + len(a) // 9)).astype(np.uint64)]))
+        half = rule.links_by_half(ngram_join.halves(a), ngram_join.halves(b))
+        assert half is None or half == rule.links(a, b)
+        told.append(half)
+    assert {True, False, None} == set(told)
+    same = np.arange(1, 200, dtype=np.uint64)  # the same lower halves, no element in common
+    other = same + np.uint64(1 << 32)
+    assert rule.links_by_half(ngram_join.halves(same), ngram_join.halves(other)) is not False
+
+
 def test_clashing_columns_and_empty_table(clashing, empty, corpus):
     assert ours(ngram_join.near_duplicates(clashing)) == brute(corpus, Rule())
     assert ngram_join.near_duplicates(empty).count() == 0
