@@ -223,10 +223,16 @@ def star(rule: Rule, n: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def across(rule: Rule, n: np.ndarray, fine: np.ndarray, label: np.ndarray, side: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All candidate pairs (places) of different labels, and of different sides if there are two, that have no bit of
-    ``earlier`` in common: those meet elsewhere."""
+    ``earlier`` in common: those meet elsewhere. Points of the label that most have are the tree to begin with; only
+    the others are searched for."""
     tree, rough, a, b = Tree(rule, len(n)), coarse(fine), [], []
     two = len(np.unique(side)) > 1
-    for i in _by_size(n, rough):
+    _, back, times = np.unique(label, return_inverse=True, return_counts=True)
+    most = back == times.argmax()
+    order = _by_size(n, rough)
+    for i in order[most[order]]:
+        tree.add(i, n[i], fine[i], rough[i])
+    for i in order[~most[order]]:
         found = tree.at[tree.search(n[i], fine[i], rough[i])]
         stays = label[found] != label[i]
         if two:

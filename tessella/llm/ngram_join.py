@@ -38,7 +38,7 @@ from tessella.plans.lineage import hold, scratch, spool
 from tessella.plans.skew import lookup
 
 #: Up to so many classes a group is a leaf; a tile of a larger group has so many points.
-SMALL, TILE = 8, 512
+SMALL, TILE = 8, 2048
 #: An element is frequent in more than ``COMMON`` sets; the tasks know so many such elements at most, the most frequent
 #: ones (5 bytes each).
 COMMON, FREQUENT = 8, 1_000_000
@@ -53,8 +53,9 @@ SETS = 1000
 #: Elements and classes that a worker gathers before it hands them on; names of sets it remembers to pass over copies.
 AT_ONCE, CLASSES, REMEMBERED = 1_000_000, 20_000, 200_000
 #: Of each class the first elements of larger groups that mark where a pair has met before. Marks only save finding a
-#: pair twice; without one it is found again and made distinct.
-MARKS = 16
+#: pair twice; without one it is found again and made distinct. The first ``STARS`` of them give the stars, which only
+#: save searching what is linked by then.
+MARKS, STARS = 16, 4
 
 _INT = np.int64
 
@@ -505,15 +506,18 @@ class _Join:
         met = hold(dealt.mapInArrow(_meet(rule, SMALL), "kind int, members array<long>, token long, node long"))
         small, n = met.filter("kind = 0").select("members").distinct(), met.count()
         large = spool(met.filter("kind = 1").select("token", "node").distinct(), n)
-        tried = spool(self.leaves(small).union(self.starred(large)).distinct(), n)
+        # collected per class are at most the elements of its prefix
+        marks = spool(large.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, MARKS).alias("marks")), n)
+        some = marks.select(F.explode(F.slice("marks", 1, STARS)).alias("token"), "node")
+        tried = spool(self.leaves(small).union(self.starred(some)).distinct(), n)
         linked = self.verified(tried)
         first = components(linked)
 
         # Tiles of one group have leaders of their own; one class per group and label stands for these, and is tied to
         # the others' before pairs are sought, so that a group of near copies is one label however many tiles it has.
-        beyond = large.groupBy("token").count().filter(F.col("count") > TILE).select("token")
+        beyond = spool(some.groupBy("token").count().filter(F.col("count") > TILE).select("token"), n)
         for _ in range(0 if beyond.isEmpty() else ROUNDS):
-            heads = large.join(beyond, "token", "left_semi").join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")).agg(F.min("node").alias("node"))
+            heads = some.join(beyond, "token", "left_semi").join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")).agg(F.min("node").alias("node"))
             more = spool(self.starred(heads.select("token", "node")).distinct().join(tried, ["a", "b"], "left_anti"), n)
             if more.isEmpty():
                 break
@@ -523,8 +527,6 @@ class _Join:
         members = large.join(first, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
         mixed = members.groupBy("token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least < _most").select("token")
         members = spool(members.join(mixed, "token", "left_semi"), n)
-        # collected per class are at most the elements of its prefix
-        marks = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, MARKS).alias("marks"))
         rest = self.tiled(members, self.points().join(marks, "node")).select(*_TILE, "side", "node", "n", "point", "label", "marks")
         rest = rest.mapInArrow(_across(rule), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         rest = spool(rest, n)
