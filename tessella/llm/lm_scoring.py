@@ -5,14 +5,16 @@ embeddings are summed and squashed, a first softmax names the token's class and
 of the log probabilities of all tokens, each from its neighbours, scores a document.
 
 Words from a number of occurrences on have ids of their own; that number grows as the square root of the corpus, and so
-does the vocabulary, about. All others share ids, buckets by hash; a word's share of its bucket is its count against
-the bucket's, so the probabilities of all words add up to 1. Counts of rare words are too many to send to the
-executors: those words are joined with them.
-
-Nothing is sampled: word counts come from all documents, and training passes over every token once. Each partition
-starts from the unigram model, runs minibatches of Adagrad over its documents in numpy, and hands over its weights and
-number of tokens; the weighted mean is the model. What is gathered so grows with the partitions of the input, while a
-task's sum holds one slice of the weights at a time.
+does the vocabulary, about, up to what can be broadcast. All others share ids, buckets by hash; a word's share of its
+bucket is its count against the bucket's, so the probabilities of all words add up to 1. Counts of rare words are too
+many to send to the executors: those words are joined with them.
+
+Nothing is sampled: word counts come from all documents, and training passes over every token once. Documents are dealt
+to shards of a few million tokens by a hash of id and text, and come in the order of that hash, so the model doesn't
+depend on how rows are partitioned. Each shard starts from the unigram model, runs minibatches of Adagrad in numpy, and
+hands over its weights and number of tokens; the weighted mean is the model. What is gathered so grows with the corpus,
+while a task's sum holds one slice of the weights at a time. Texts are cut into words twice, to count them and to code
+them; training and scoring read the codes.
 """
 
 from __future__ import annotations
@@ -20,27 +22,34 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import isqrt, log, sqrt
+from math import isqrt, sqrt
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._batches import small_batches
 from tessella.plans.columns import pick
-from tessella.plans.lineage import hold
+from tessella.plans.lineage import hold, scratch, spool
+from tessella.plans.skew import lookup
 
 CLASSES, EACH, DIM, WINDOW = 32, 32, 16, 2
 #: Ids by falling count; the last ones are buckets for all other words, by hash. The least vocabulary, its buckets, and
-#: the occurrences, as a multiple of the square root of the number of tokens, from which a word always has its own id.
-VOCABULARY, OTHERS, OWN = CLASSES * EACH, 124, 0.2
+#: the occurrences, as a multiple of the square root of the number of tokens, from which a word has its own id; the
+#: greatest vocabulary, whose weights of 20 MB go to every worker.
+VOCABULARY, OTHERS, OWN, MOST = CLASSES * EACH, 124, 0.2, 1 << 16
 RATE, BATCH, SEED = 0.3, 8192, 11
 #: Distinct words that a task counts before it hands on its counts; words whose id a worker remembers.
 COUNTED, REMEMBERED = 200_000, 100_000
 #: Words in buckets whose counts the workers have; the counts of all others are joined. Occurrences of a word without any.
-KNOWN, UNSEEN = 100_000, 0.5
+KNOWN, UNSEEN = 300_000, 0.5
+#: Tokens of a shard: at least so many, and so many for each weight.
+SHARD, A_WEIGHT = 2_000_000, 8
+#: Tokens that are scored together.
+AT_ONCE = 500_000
 
 #: The last row of the embeddings, whatever their number.
 PAD = -1
@@ -58,6 +67,11 @@ def sized(own: int) -> tuple[int, int]:
     return side * side, own
 
 
+def most_own() -> int:
+    """So many words at most have ids of their own."""
+    return MOST * (VOCABULARY - OTHERS) // VOCABULARY
+
+
 class Vocabulary(dict):
     """Word to id."""
 
@@ -73,25 +87,67 @@ class Vocabulary(dict):
             self[word] = out
         return out
 
-    def ids(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+
+class Coder(dict):
+    """Word to code: the id of a word with its own, then the places of the known words of buckets."""
+
+    def __init__(self, ranked: list[str], known: list[str], counts: list[int]):
+        super().__init__({w: i for i, w in enumerate([*ranked, *known])})
+        vocabulary = Vocabulary(ranked)
+        self.first, self.others, self.unknown = vocabulary.first, vocabulary.others, []
+        # with fewer words than the least vocabulary has, some ids stand for none
+        self.ids = np.concatenate([np.arange(len(ranked)), np.array([self.bucket(w) for w in known], dtype=np.int64)])
+        self.logs = np.concatenate([np.zeros(len(ranked)), np.log(np.array(counts, dtype=float))])
+
+    def bucket(self, word: str) -> int:
+        return self.first + zlib.crc32(word.encode()) % self.others
+
+    def __missing__(self, word: str) -> int:
+        self.unknown.append(word)
+        return -1
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, float, list[int]]:
+        """(ids of the words, sum of the logarithms of the known counts in buckets, hashes of the unknown words)."""
+        found, self.unknown = words(text), []
+        codes = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        if not self.unknown:
+            return self.ids[codes], float(self.logs[codes].sum()), []
+        unknown, known = codes < 0, codes[codes >= 0]
+        ids = np.empty(len(codes), dtype=np.int64)
+        ids[~unknown] = self.ids[known]
+        ids[unknown] = [self.bucket(w) for w in self.unknown]
+        return ids, float(self.logs[known].sum()), [word_hash(w) for w in self.unknown]
+
+
+def word_hash(word: str) -> int:
+    """What Spark's xxhash64 says of the word."""
+    x = xxhash.xxh64_intdigest(word.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
 
 
 Weights = dict[str, np.ndarray]
 
 
-class Model(NamedTuple):
-    """``words`` have ids of their own; ``buckets`` are the tokens in each bucket. ``known`` are counts of words in
-    buckets; ``counted`` (word, count) has those of all words, of which ``known`` has the ones from ``known_from`` on."""
+class Lexicon(NamedTuple):
+    """``words`` have ids of their own; ``counts`` are the tokens of each id. ``known`` are words in buckets, with their
+    numbers; ``counted`` (word, count) has all words, of which ``known`` has the ones from ``known_from`` on."""
 
     words: list[str]
-    weights: Weights
-    buckets: np.ndarray
-    known: dict[str, int]
+    counts: np.ndarray
+    known: list[str]
+    known_counts: list[int]
     known_from: int
     counted: DataFrame
 
+    def buckets(self) -> np.ndarray:
+        return self.counts[sized(len(self.words))[1] :]
+
+
+class Model(NamedTuple):
+    words: list[str]
+    weights: Weights
+    lexicon: Lexicon
+
 
 def start(counts: np.ndarray, seed: int = SEED) -> Weights:
     """The unigram model: biases are log frequencies, embeddings small and random."""
@@ -126,25 +182,21 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(ids != PAD)
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(exp(z - top), its row sums, top), in place, with one top for the whole block: logits are within some tens."""
-    top = z.max()
-    z -= top
-    np.exp(z, out=z)
-    return z, np.maximum(z @ np.ones(z.shape[1], dtype=z.dtype), 1e-37), float(top)
-
-
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e, s, _ = _exp(z)
-    e /= s[:, None]
-    return e
+    """Of each row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= np.einsum("ij->i", z)[:, None]
+    return z
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log probability of one column per row."""
+    """The log probability of one column per row; each row goes by its own greatest value."""
+    top = z.max(axis=1, keepdims=True)
+    z -= top
     own = z[np.arange(len(z)), at].astype(np.float64)
-    _, s, top = _exp(z)
-    return own - top - np.log(s)
+    np.exp(z, out=z)
+    return own - np.log(np.einsum("ij->i", z))
 
 
 def _by_class(target: np.ndarray, side: int) -> list[tuple[int, np.ndarray]]:
@@ -167,6 +219,34 @@ def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray
     return out
 
 
+def gradients(w: Weights, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[str, np.ndarray, object]]:
+    """Gradients of the mean negative log probability of the tokens at ``rows``: (weights, gradient, what part of them).
+    Weights may be changed by a gradient once the next one is asked for: they aren't used again."""
+    n, side = len(rows), len(w["word"])
+    near = [ids[rows + o] for o in OFFSETS]
+    h = np.tanh(sum(w["in"][k][x] for k, x in enumerate(near)))
+    target = ids[rows]
+    p = _softmax(h @ w["class"] + w["class_bias"])
+    p[np.arange(n), target // side] -= 1
+    p /= n
+    dh = p @ w["class"].T
+    for c, own in _by_class(target, side):
+        mine = h[own]
+        q = _softmax(mine @ w["word"][c] + w["word_bias"][c])
+        q[np.arange(len(own)), target[own] % side] -= 1
+        q /= n
+        dh[own] += q @ w["word"][c].T
+        yield "word", mine.T @ q, c
+        yield "word_bias", q.sum(axis=0), c
+    yield "class", h.T @ p, ...
+    yield "class_bias", p.sum(axis=0), ...
+    dh *= 1 - h * h
+    for k, x in enumerate(near):
+        order = np.argsort(x, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
+        yield "in", np.add.reduceat(dh[order], cuts, axis=0), (k, x[order][cuts])
+
+
 class Trainer:
     """Adagrad over minibatches, as documents come."""
 
@@ -175,39 +255,13 @@ class Trainer:
         self.seen = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
         self.tokens = 0
 
-    def _move(self, key: str, gradient: np.ndarray, at=...) -> None:
-        self.seen[key][at] += gradient * gradient
-        self.w[key][at] -= RATE * gradient / np.sqrt(self.seen[key][at])
-
     def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
         for a in range(0, len(at), BATCH):
-            self._batch(ids, at[a : a + BATCH])
+            for key, gradient, part in gradients(self.w, ids, at[a : a + BATCH]):
+                self.seen[key][part] += gradient * gradient
+                self.w[key][part] -= RATE * gradient / np.sqrt(self.seen[key][part])
         self.tokens += len(at)
 
-    def _batch(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        w, n, side = self.w, len(rows), len(self.w["word"])
-        near = [ids[rows + o] for o in OFFSETS]
-        h = np.tanh(sum(w["in"][k][x] for k, x in enumerate(near)))
-        target = ids[rows]
-        p = _softmax(h @ w["class"] + w["class_bias"])
-        p[np.arange(n), target // side] -= 1
-        p /= n
-        dh = p @ w["class"].T
-        for c, own in _by_class(target, side):
-            q = _softmax(h[own] @ w["word"][c] + w["word_bias"][c])
-            q[np.arange(len(own)), target[own] % side] -= 1
-            q /= n
-            dh[own] += q @ w["word"][c].T
-            self._move("word", h[own].T @ q, c)
-            self._move("word_bias", q.sum(axis=0), c)
-        self._move("class", h.T @ p)
-        self._move("class_bias", p.sum(axis=0))
-        dh *= 1 - h * h
-        for k, x in enumerate(near):
-            order = np.argsort(x, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-            self._move("in", np.add.reduceat(dh[order], cuts, axis=0), (k, x[order][cuts]))
-
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, count) over all documents; tasks hand on partial counts whenever they hold many words."""
@@ -229,13 +283,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model of all of ``docs`` (doc_id, _text)."""
-    context = docs.sparkSession.sparkContext
+def lexicon(docs: DataFrame) -> Lexicon:
+    """The words of ``docs`` (doc_id, _text), counted over all of them."""
     counted = hold(count_words(docs))
     levels = sorted(((r["count"], r["words"]) for r in counted.groupBy("count").agg(F.count("*").alias("words")).collect()), reverse=True)
     least = OWN * sqrt(sum(c * n for c, n in levels))
-    own = max(VOCABULARY - OTHERS, sum(n for c, n in levels if c >= least))
+    own = min(most_own(), max(VOCABULARY - OTHERS, sum(n for c, n in levels if c >= least)))
     ranked = [(r["word"], r["count"]) for r in counted.orderBy(F.desc("count"), "word").limit(own).collect()]
     top, (size, bucket) = [w for w, _ in ranked], sized(len(ranked))
     counts = np.zeros(size)
@@ -252,96 +305,157 @@ def fit(docs: DataFrame) -> Model:
         if room < 0:
             break
         known_from = c
-    known = {r["word"]: r["count"] for r in counted.filter(F.col("count") >= known_from).collect()}
-    for w in top:
-        known.pop(w, None)
-    model = lambda weights: Model(top, weights, counts[bucket:], known, known_from, counted)
-    first = start(counts)
-    shared = context.broadcast((top, first))
-    slices = 64
-    size = -(-pack(first).size // slices)
+    found, mine = counted.filter(F.col("count") >= known_from).toArrow(), set(top)
+    known = [(w, c) for w, c in zip(found["word"].to_pylist(), found["count"].to_pylist()) if w not in mine]
+    return Lexicon(top, counts, [w for w, _ in known], [c for _, c in known], known_from, counted)
+
+
+def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """Of each row of ``docs`` (doc_id, _text): doc_id, _text_id (128 bits that name the text), _key (64 bits of id and
+    text), n_tokens, _known (the sum of the logarithms of known counts), _ids (two bytes a token), _rare (hashes of
+    the words whose counts have to be joined)."""
+    shared = docs.sparkSession.sparkContext.broadcast(words[0:1] + words[2:4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(*shared.value)
+        for batch in batches:
+            found = [coder.encode(text) for text in batch.column(3).to_pylist()]
+            n = pa.array([len(ids) for ids, _, _ in found], pa.int64())
+            ids = pa.array([ids.astype(np.uint16).tobytes() for ids, _, _ in found], pa.binary())
+            rare = pa.array([x for _, _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, pa.array([x for _, x, _ in found], pa.float64()), ids, rare], names=["doc_id", "_text_id", "_key", "n_tokens", "_known", "_ids", "_rare"])
+
+    text = F.coalesce("_text", F.lit(""))
+    named = F.concat_ws("/", F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"))
+    rows = docs.select("doc_id", named.alias("_text_id"), F.xxhash64("doc_id", "_text").alias("_key"), "_text")
+    return rows.mapInArrow(run, "doc_id long, _text_id string, _key long, n_tokens long, _known double, _ids binary, _rare array<long>")
+
+
+def _decoded(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in column.to_pylist()]
+
+
+def trained(rows: DataFrame, words: Lexicon) -> Model:
+    """The model of all of ``rows`` (from ``coded``)."""
+    first = start(words.counts)
+    shared = rows.sparkSession.sparkContext.broadcast(first)
+    total, slices = pack(first).size, 64
+    size = -(-total // slices)
+    n = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = -(-n // max(SHARD, A_WEIGHT * total))
+    if not n:
+        return Model(words.words, first, words)
+    names = ["shard", "slice", "weights", "tokens"]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, first = shared.value
-        vocabulary, trainer = Vocabulary(top), Trainer(first)
-        waiting, held = [], 0
+        trainer, shard, waiting, held = None, None, [], 0
+
+        def learn() -> None:
+            nonlocal waiting, held
+            if held:
+                trainer.learn(*padded(waiting))
+            waiting, held = [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            learn()
+            if trainer is not None and trainer.tokens:
+                flat = pack(trainer.w)
+                parts = [flat[i * size : (i + 1) * size].tobytes() for i in range(slices)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * slices, pa.int32()), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary()), pa.array([trainer.tokens] * slices, pa.int64())], names=names)
+
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                ids = vocabulary.ids(text)
+            for at, ids in zip(batch.column(0).to_pylist(), _decoded(batch.column(1))):
+                if at != shard:
+                    yield from told()
+                    trainer, shard = Trainer(shared.value), at
                 waiting.append(ids)
                 held += len(ids)
                 if held >= 4 * BATCH:
-                    trainer.learn(*padded(waiting))
-                    waiting, held = [], 0
-        if held:
-            trainer.learn(*padded(waiting))
-        if trainer.tokens:
-            flat = pack(trainer.w)
-            parts = [flat[i * size : (i + 1) * size].tobytes() for i in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary()), pa.array([trainer.tokens] * slices, pa.int64())], names=["slice", "weights", "tokens"])
+                    learn()
+        yield from told()
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for k, raw, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, k, raw, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 have = sums.setdefault(k, [0.0, 0])
                 have[0] = have[0] + np.frombuffer(raw, np.float32).astype(np.float64) * tokens
                 have[1] += tokens
         means = [(x / n).astype(np.float32).tobytes() for x, n in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means, pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=["slice", "weights", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.int32()), pa.array(list(sums), pa.int32()), pa.array(means, pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], names=names)
+
+    kinds = "shard int, slice int, weights binary, tokens long"
+    dealt = rows.filter("n_tokens > 0").select(F.pmod("_key", F.lit(shards)).cast("int").alias("shard"), "_ids", "_key")
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "_key").select("shard", "_ids")
+    parts = dealt.mapInArrow(train, kinds).repartition("slice").sortWithinPartitions("slice", "shard")
+    means = {r["slice"]: r["weights"] for r in parts.mapInArrow(average, kinds).collect()}
+    return Model(words.words, unpack(np.frombuffer(b"".join(means[k] for k in range(slices)), np.float32), first), words)
+
 
-    kinds = "slice int, weights binary, tokens long"
-    trained = docs.mapInArrow(train, kinds)
-    means = {r["slice"]: r["weights"] for r in trained.repartition("slice").sortWithinPartitions("slice", "tokens", "weights").mapInArrow(average, kinds).collect()}
-    if not means:
-        return model(first)
-    return model(unpack(np.frombuffer(b"".join(means[k] for k in range(slices)), np.float32), first))
+def fit(docs: DataFrame) -> Model:
+    """The model of all of ``docs`` (doc_id, _text)."""
+    with scratch() as keep:
+        words = lexicon(docs)
+        keep(words.counted)
+        return trained(hold(coded(docs, words)), words)
 
 
 def score(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, log_likelihood (the sum, natural log), mean (per token).
 
     The model is fitted on ``docs`` itself unless given; a word that it has not seen counts as one that occurs
-    ``UNSEEN`` times. Null, empty and white texts have no tokens: the sum is 0 and the mean null. Null ids stay null;
-    repeated rows get equal results. An empty table gives an empty result.
+    ``UNSEEN`` times. Null, empty and white texts have no tokens: the sum is 0 and the mean null. Null ids stay null.
+    Equal texts get equal results: the last digits of a sum can hang on a document's place in its batch, so of the sums
+    of one text the least counts. An empty table gives an empty result.
     """
     rows = pick(docs, id_col, text_col, **{id_col: "long", text_col: "string"}).toDF("doc_id", "_text")
-    model = fit(rows) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.buckets, model.known))
+    with scratch() as keep:
+        words = lexicon(rows) if model is None else model.lexicon
+        found = hold(coded(rows, words))
+        scored = _scored(found, trained(found, words) if model is None else model)
+        return keep(spool(scored))
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    words = model.lexicon
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights, words.buckets()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, weights, buckets, counts = shared.value
-        vocabulary = Vocabulary(top)
-        known = {w: log(c) for w, c in counts.items()}
-        share = np.zeros(vocabulary.first + len(buckets))
-        share[vocabulary.first :] = -np.log(np.maximum(buckets, UNSEEN))
+        weights, buckets = shared.value
+        share = np.zeros(len(weights["word"]) ** 2)
+        share[len(share) - len(buckets) :] = -np.log(np.maximum(buckets, UNSEEN))
+
+        def totals(docs: list[np.ndarray]) -> np.ndarray:
+            out, n = np.zeros(len(docs)), np.array([len(d) for d in docs], dtype=np.int64)
+            if n.any():
+                ids, at = padded(docs)
+                each = log_probabilities(weights, ids, at) + share[ids[at]]
+                out[n > 0] = np.add.reduceat(each, (np.cumsum(n) - n)[n > 0])
+            return out
+
         for batch in batches:
-            docs, rare, told = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids, found = vocabulary.ids(text), words(text)
-                own, left = 0.0, []
-                for i in np.flatnonzero(ids >= vocabulary.first).tolist():
-                    c = known.get(found[i])
-                    if c is None:
-                        left.append(found[i])
-                    else:
-                        own += c
+            docs, found, size = [], [], 0
+            for ids in _decoded(batch.column(2)):
                 docs.append(ids)
-                rare.append(left)
-                told.append(own + share[ids].sum())
-            n = np.array([len(d) for d in docs], dtype=np.int64)
-            ids, at = padded(docs)
-            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, ids, at))])
-            ends = np.cumsum(n)
-            total = sums[ends] - sums[ends - n] + np.array(told)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "n_tokens", "_total", "_rare"])
-
-    scored = hold(rows.mapInArrow(run, "doc_id long, n_tokens long, _total double, _rare array<string>").withColumn("_row", F.monotonically_increasing_id()))
-    counts = model.counted.filter(F.col("count") < model.known_from)
-    rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("_row").agg(F.sum(F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNSEEN)))).alias("_own"))
-    total = F.col("_total") + F.coalesce("_own", F.lit(0.0))
-    out = scored.drop("_rare").join(rare, "_row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+                size += len(ids)
+                if size >= AT_ONCE:
+                    found.append(totals(docs))
+                    docs, size = [], 0
+            found.append(totals(docs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(found)), *batch.columns[3:]], names=["doc_id", "_text_id", "_sum", "n_tokens", "_known", "_rare"])
+
+    coded = rows.select("doc_id", "_text_id", "_ids", "n_tokens", "_known", "_rare")
+    scored = hold(coded.mapInArrow(run, "doc_id long, _text_id string, _sum double, n_tokens long, _known double, _rare array<long>").withColumn("_row", F.monotonically_increasing_id()))
+    counts = words.counted.filter(F.col("count") < words.known_from).groupBy(F.xxhash64("word").alias("_word")).agg(F.max("count").alias("count"))
+    rare = scored.select("_row", F.explode("_rare").alias("_word")).join(counts, "_word", "left")
+    # in units of 1e-9, so that the sum is the same in any order
+    own = F.round(F.log(F.coalesce(F.col("count").cast("double"), F.lit(UNSEEN))) * 1e9).cast("long")
+    rare = rare.groupBy("_row").agg(F.sum(own).alias("_own"))
+    slim = scored.drop("_rare").join(rare, "_row", "left")
+    same = scored.groupBy("_text_id").agg(F.min("_sum").alias("_least"), F.count("*").alias("_copies")).filter("_copies > 1")
+    found = lookup(slim, same, "_text_id", "_copies", scored.count(), F.col("_row"))
+    total = F.coalesce("_least", "_sum") + F.col("_known") + F.coalesce("_own", F.lit(0)) / F.lit(1e9)
+    out = found.select("doc_id", "n_tokens", total.alias("log_likelihood"))
     return out.withColumn("mean", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

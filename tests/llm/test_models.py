@@ -144,3 +144,61 @@ def test_language_model_covers_all_words(spark, monkeypatch, known):
     bucket = lm_scoring.Vocabulary(model.words)
     pair = next((a, b) for a in rows for b in rows if a[0] == "r" and b[0] == "s" and bucket[a] == bucket[b])
     assert rows[pair[1]] - rows[pair[0]] == pytest.approx(np.log(5), abs=1e-6)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    w = {k: v.astype(float) + rng.normal(0, 0.3, v.shape) for k, v in lm_scoring.start(rng.integers(1, 9, 16).astype(float)).items()}
+    ids, at = lm_scoring.padded([rng.integers(0, 16, n) for n in (7, 1, 30)])
+    loss = lambda: -lm_scoring.log_probabilities(w, ids, at).mean()
+    got = {k: np.zeros_like(v) for k, v in w.items()}
+    for key, gradient, part in lm_scoring.gradients(w, ids, at):
+        got[key][part] += gradient
+    for key, v in w.items():
+        for _ in range(25):
+            place = tuple(rng.integers(0, n) for n in v.shape)
+            was, step = v[place], 1e-6
+            v[place] = was + step
+            more = loss()
+            v[place] = was - step
+            want = (more - loss()) / (2 * step)
+            v[place] = was
+            assert got[key][place] == pytest.approx(want, abs=1e-6)
+
+
+def test_each_row_goes_by_its_own_greatest_value():
+    z = np.array([[500.0, 499.0], [-500.0, -501.0], [0.0, -200.0]], dtype=np.float32)
+    got = lm_scoring._log_softmax_at(z.copy(), np.array([1, 0, 1]))
+    assert got == pytest.approx([-1 - np.log1p(np.exp(-1)), -np.log1p(np.exp(-1)), -200], abs=1e-4)
+    assert lm_scoring._softmax(z).sum(axis=1) == pytest.approx([1, 1, 1])
+
+
+def test_hash_of_words_is_spark_s(spark):
+    words = ["", "a", "wörter", "x" * 31, "y" * 32, "z" * 100, "日本"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r.h for r in df.selectExpr("xxhash64(w) AS h").collect()] == [lm_scoring.word_hash(w) for w in words]
+
+
+def test_scores_depend_neither_on_partitions_nor_on_place(docs, clashing, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 4000)
+    monkeypatch.setattr(lm_scoring, "A_WEIGHT", 0)
+    rows = docs.unionByName(docs.filter("doc_id between 10 and 40"))
+    a = {}
+    for r in lm_scoring.score(rows).collect():
+        a.setdefault(r.doc_id, set()).add((r.log_likelihood, r.mean))
+    assert len(lm_scoring.score(clashing).collect()) == len(corpus)
+    assert all(len(x) == 1 for i, x in a.items() if i is not None)  # repeated rows agree to the last bit
+    b = lm_scoring.score(rows.repartition(7)).collect()
+    for r in b:
+        if r.doc_id is not None and r.mean is not None:
+            assert r.log_likelihood == pytest.approx(next(iter(a[r.doc_id]))[0], rel=1e-6)
+    equal = [r[0] for r in corpus if r[1] == corpus[72][1]]
+    assert len(equal) >= 5 and len({x for i in equal for x in a[i]}) == 1
+
+
+def test_models_of_other_partitions_are_the_same(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 4000)
+    monkeypatch.setattr(lm_scoring, "A_WEIGHT", 0)
+    rows = docs.select("doc_id", docs["text"].alias("_text"))
+    a, b = lm_scoring.fit(rows.repartition(2)), lm_scoring.fit(rows.repartition(5))
+    assert a.words == b.words and all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)
