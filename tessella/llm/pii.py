@@ -17,21 +17,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.columns import pick
-from tessella.plans.lineage import spool
+from tessella.plans.lineage import scratch, spool
 from tessella.plans.skew import lookup
 
 KINDS = ("email", "ip", "card", "phone")
-#: In Java's syntax. A run of local-part characters is tried from its start only, or from the last match's end.
+#: In Java's syntax. A run of local-part characters is tried from its start only, or from the last match's end. Shorter
+#: runs of digits than a card has fail anyway, and are not matched to begin with: a run is matched whole or not at all.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A character without which a pattern can't match.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 
-#: Matches whose places are summed up together: adding to an array copies it, so long ones are made of short ones.
+#: Matches whose places are summed up together.
 CHUNK = 256
 #: Terms are words of four letters or more that are no part of an address.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![._%+-]*[\p{L}\p{N}@_%+-])"
@@ -39,19 +40,47 @@ TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![._%+-]*[\p{L}\p{N}@_%+-])"
 GENERALISE, REMOVE = 0.6, 0.9
 
 
+_NO_SPANS = "cast(array() as array<struct<v:string,s:int,e:int>>)"
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of struct(s, e, v): leftmost non-overlapping matches with their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)").alias("out"))
+    """Array of struct(v, s, e): leftmost non-overlapping matches with their places.
+
+    Places are running sums of the lengths of matches and of the gaps between. Adding to an array copies it, so sums run
+    over chunks of ``CHUNK`` matches, and then over the chunks: long texts take time in proportion to their length.
+    """
+
+    def within(chunk: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            s = acc["at"] + x["gap"]
+            e = s + F.length(x["v"])
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(x["v"].alias("v"), s.alias("s"), e.alias("e")))).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["v"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["v"].alias("v")))).alias("out"))
+        return F.aggregate(chunk, start, step)
+
+    def starts(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(chunks, start, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def placed(chunks: Column) -> Column:
+        shift = lambda c, by: F.transform(c["out"], lambda x: F.struct(x["v"].alias("v"), (x["s"] + by).alias("s"), (x["e"] + by).alias("e")))
+        return F.flatten(F.zip_with(chunks, starts(chunks), shift))
+
+    def chunked(steps: Column) -> Column:
+        count = F.ceil(F.size(steps) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: within(F.slice(steps, (i - 1) * CHUNK + 1, F.lit(CHUNK))))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, gap: F.struct(v.alias("v"), gap.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # the last gap, after the last match, has no match to go with
+    steps = F.filter(F.zip_with(found, F.split(text, pattern, -1), lambda v, gap: F.struct(v.alias("v"), F.length(gap).alias("gap"))), lambda x: x["v"].isNotNull())
+    return _once(steps, lambda x: F.when(F.size(x) > 0, _once(chunked(x), placed)).otherwise(F.expr(_NO_SPANS)))
 
 
 def _digits(v: Column) -> Column:
@@ -83,44 +112,17 @@ def _check(kind: str) -> Callable[[Column], Column]:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Per kind the array of valid matches; ``text`` must not be null."""
-    none = F.expr("cast(array() as array<struct<s:int,e:int,v:string>>)")
     out = {}
     for kind in KINDS:
         valid = F.filter(matches(text, PATTERNS[kind]), _check(kind))
-        out[kind] = F.when(F.contains(text, F.lit(NEEDED[kind])), valid).otherwise(none) if kind in NEEDED else valid
+        may = F.contains(text, F.lit(NEEDED[kind])) if kind in NEEDED else text.rlike(PATTERNS[kind])
+        out[kind] = F.when(may, valid).otherwise(F.expr(_NO_SPANS))
     return out
 
 
 def _words(text: Column) -> Column:
-    """All terms of a text with their places: array of struct(term, s, e)."""
-    bound = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  evaluates ``value`` once
-
-    def within(chunk: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<term:string,s:int,e:int>>)").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["gap"]
-            e = s + F.length(x["v"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lower(x["v"]).alias("term"), s.alias("s"), e.alias("e")))).alias("out"))
-
-        return F.aggregate(chunk, start, step)
-
-    def starts(chunks: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-        return F.aggregate(chunks, start, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-
-    def placed(chunks: Column) -> Column:
-        shift = lambda c, by: F.transform(c["out"], lambda x: F.struct(x["term"].alias("term"), (x["s"] + by).alias("s"), (x["e"] + by).alias("e")))
-        return F.flatten(F.zip_with(chunks, starts(chunks), shift))
-
-    def chunked(steps: Column) -> Column:
-        count = F.ceil(F.size(steps) / CHUNK).cast("int")
-        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: within(F.slice(steps, (i - 1) * CHUNK + 1, F.lit(CHUNK))))
-
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    # the last gap, after the last match, has no match to go with
-    steps = F.filter(F.zip_with(found, F.split(text, TERM, -1), lambda v, gap: F.struct(v.alias("v"), F.length(gap).alias("gap"))), lambda x: x["v"].isNotNull())
-    return bound(steps, lambda x: bound(chunked(x), placed))
+    """All terms of a text, in lower case, with their places: array of struct(term, s, e)."""
+    return F.transform(matches(text, TERM), lambda m: F.struct(F.lower(m["v"]).alias("term"), m["s"].alias("s"), m["e"].alias("e")))
 
 
 def _told(spans: Column, kind: str) -> Column:
@@ -152,21 +154,25 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", gener
     holders = found.filter(F.size("_entities") > 0)
     entities = holders.select("_key", F.explode("_entities").alias("entity"))
     mark = lambda *more: F.sum(F.xxhash64("_key", *more).cast("decimal(20,0)")).cast("string")
-    sets = entities.groupBy("entity").agg(F.count("*").alias("df_e"), F.concat_ws("/", mark(), mark(F.lit(1))).alias("group"))
+    sets = entities.groupBy("entity").agg(F.count("*").alias("df_e"), F.md5(F.concat_ws("/", mark(), mark(F.lit(1)))).alias("group"))
     groups = lookup(entities, spool(sets), "entity", "df_e", n, F.xxhash64("_key", "entity")).groupBy("_key").agg(F.collect_set(F.struct("group", "df_e")).alias("_groups"))
     terms_of = F.array_distinct(F.transform("_words", lambda t: t["term"]))
     near = holders.join(groups, "_key").select("_key", "_groups", F.explode(terms_of).alias("term")).select("_key", "term", F.explode("_groups").alias("_g"))
-    near = near.select("_key", "term", "_g.group", "_g.df_e")
-    pairs = near.groupBy("group", "term").agg(F.count("*").alias("df_et"), F.first("df_e").alias("df_e"))
+    near = spool(near.select("_key", "term", "_g.group", "_g.df_e"))
     text = pick(docs, text_col, **{text_col: "string"}).toDF("_text")
     words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), F.lower))
     terms = spool(text.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")))
-    scored = lookup(pairs, terms, "term", "df_t", n, F.xxhash64("group", "term"))
     pmi = F.log(F.col("df_et") * F.lit(float(n)) / (F.col("df_t") * F.col("df_e")))
     risk = F.when(F.col("df_e") < n, pmi / F.log(F.lit(float(n)) / F.col("df_e"))).otherwise(F.lit(0.0))
-    pair = F.concat_ws("\u0001", "group", "term").alias("_pair")
+    # with entities of one document a term occurs once; only those of several documents have to be counted
+    once = lookup(near.filter("df_e = 1").withColumn("df_et", F.lit(1)), terms, "term", "df_t", n, F.xxhash64("_key", "term"))
+    several = near.filter("df_e > 1")
+    pairs = several.groupBy("group", "term").agg(F.count("*").alias("df_et"), F.first("df_e").alias("df_e"))
+    scored = lookup(pairs, terms, "term", "df_t", n, F.xxhash64("group", "term"))
+    pair = F.md5(F.concat_ws("\u0001", "group", "term")).alias("_pair")
     risky = spool(scored.select(pair, "df_et", risk.alias("risk")).filter(F.col("risk") >= generalise))
-    told = lookup(near.select("_key", "term", pair), risky, "_pair", "df_et", n, F.xxhash64("_key", "term")).filter(F.col("risk").isNotNull())
+    more = lookup(several.select("_key", "term", pair), risky, "_pair", "df_et", n, F.xxhash64("_key", "term")).filter(F.col("risk").isNotNull())
+    told = once.select("_key", "term", risk.alias("risk")).filter(F.col("risk") >= generalise).union(more.select("_key", "term", "risk"))
     # a term that tells about two entities counts by the one it tells most about
     return told.groupBy("_key", "term").agg(F.max("risk").alias("risk"))
 
@@ -178,14 +184,16 @@ def find_and_sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     terms' spans that are to go altogether. Null texts count as empty; null ids stay null; rows that repeat an id and
     a text get equal results. An empty table gives an empty result.
     """
-    found = find_pii(docs, id_col, text_col)
-    risky = disclosures(docs, found, text_col, generalise)
-    places = found.filter(F.size("_words") > 0).select("_key", F.explode("_words").alias("_w")).select("_key", "_w.*")
-    told = places.join(risky, ["_key", "term"])
-    told = told.groupBy("_key", "s", "e").agg(F.max("risk").alias("risk")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "risk"))).alias("_terms"))
-    out = found.drop("_entities", "_words").join(told, "_key", "left").withColumn("_terms", F.coalesce("_terms", F.expr("cast(array() as array<struct<s:int,e:int,risk:double>>)")))
-    gone = F.filter("_terms", lambda t: t["risk"] >= remove)
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.size("_terms").cast("long").alias("n_term"), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", _told(F.col("_terms"), "term")), ",").alias("spans"), F.array_join(_told(gone, "term"), ",").alias("removed"))
+    with scratch() as keep:
+        found = find_pii(docs, id_col, text_col)
+        risky = disclosures(docs, found, text_col, generalise)
+        places = found.filter(F.size("_words") > 0).select("_key", F.explode("_words").alias("_w")).select("_key", "_w.*")
+        told = places.join(risky, ["_key", "term"])
+        told = told.groupBy("_key", "s", "e").agg(F.max("risk").alias("risk")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "risk"))).alias("_terms"))
+        out = found.drop("_entities", "_words").join(told, "_key", "left").withColumn("_terms", F.coalesce("_terms", F.expr("cast(array() as array<struct<s:int,e:int,risk:double>>)")))
+        gone = F.filter("_terms", lambda t: t["risk"] >= remove)
+        out = out.select("doc_id", *[f"n_{k}" for k in KINDS], F.size("_terms").cast("long").alias("n_term"), F.sha2(F.array_join("_base", ","), 256).alias("base_sha256"), F.array_join(F.concat("_base", _told(F.col("_terms"), "term")), ",").alias("spans"), F.array_join(_told(gone, "term"), ",").alias("removed"))
+        return keep(spool(out))
 
 
 def sanitised(text: Column, spans: Column, removed: Column) -> Column:

@@ -97,6 +97,54 @@ def test_pii_terms_of_the_whole_document(spark):
     assert [text[int(a) : int(b)] for a, b in (x.split(":")[1:] for x in row.removed.split(","))] == ["Wunderlich", "from", "wunderlich"]
 
 
+def brute_terms(texts):
+    """Per text (places of terms that disclose, of those the ones that go), by counting all pairs."""
+    n = len(texts)
+    held = [{t[int(a) : int(b)] for a, b in (x.split(":")[1:] for x in base_pii(t))} for t in texts]
+    words = [[(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"(?<!\S)[A-Za-z]{4,}(?!\S)", t)] for t in texts]
+    terms = [{w for w, *_ in x} for x in words]
+    df_e, df_t = Counter(e for x in held for e in x), Counter(w for x in terms for w in x)
+    df_et = Counter((e, w) for x, y in zip(held, terms) for e in x for w in y)
+
+    def risk(e, w):
+        return math.log(df_et[e, w] * n / (df_t[w] * df_e[e])) / math.log(n / df_e[e]) if df_e[e] < n else 0
+
+    out = []
+    for x, y in zip(held, words):
+        risks = [(f"term:{s}:{e}", max(risk(v, w) for v in x)) for w, s, e in y] if x else []
+        out.append(([p for p, r in risks if r >= pii.GENERALISE], [p for p, r in risks if r >= pii.REMOVE]))
+    return out
+
+
+def test_pii_terms_like_brute_force(spark):
+    rng = random.Random(9)
+    names = [f"Name{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    mails = [f"box{i}@example.com" for i in range(12)] + ["10.0.0.7", "+49 170 1234567"]
+    texts = []
+    for i in range(150):
+        words = [rng.choice(["weather", "plain", "words", "about", "the", "report"]) for _ in range(rng.randrange(3, 30))] + rng.sample(names, rng.randrange(4))
+        who = rng.randrange(len(mails))
+        if rng.random() < 0.4:
+            words += [mails[who], names[who], names[who].upper()]
+        if rng.random() < 0.1:
+            words += [f"only{i}@example.org", mails[rng.randrange(len(mails))]]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+    texts.append(texts[0])
+    want = brute_terms(texts)
+    assert sum(bool(a) for a, _ in want) > 30 and any(b for _, b in want) and any(len(a) > len(b) for a, b in want)
+    for r in pii.find_and_sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        terms = [x for x in r.spans.split(",") if x.startswith("term")]
+        assert (terms, [x for x in r.removed.split(",") if x]) == want[r.doc_id] and r.n_term == len(terms)
+
+
+def test_pii_long_texts_take_time_in_proportion(spark):
+    text = "call 10.0.0.1 or 4111 1111 1111 1111x " * 5000 + "7 12 345 " * 30_000
+    row = pii.find_and_sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_ip, row.n_card) == (5000, 5000)
+    assert [x for x in row.spans.split(",") if not x.startswith("term")] == base_pii(text)
+
+
 def test_pii_clashing_columns_repeats_and_empty(clashing, docs, empty):
     order = lambda df: sorted(map(str, df.collect()))
     assert order(pii.find_and_sanitise(clashing)) == order(pii.find_and_sanitise(docs))
