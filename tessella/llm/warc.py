@@ -4,15 +4,18 @@ A revisit record says that a page was asked for again and had not changed; it ha
 to the latest earlier full response of the same canonical URL, if the validators of both agree, and gets that
 response's headers updated by its own where a not-modified answer may update them.
 
-The as-of join needs no sort of one URL in one task: records are dealt by ranges of (URL, time), each range finds the
-latest response within itself, and what a URL that goes on from one range into the next has seen before is carried
-over; at most one URL per range boundary does.
+The as-of join needs no sort of one URL in one task: records are dealt by ranges of (URL, time, a hash of the id), each
+range finds the latest response within itself, and what a URL that goes on from one range into the next has seen
+before is carried over; at most one URL per range boundary does. Carried are references to responses; their headers
+are looked up for those alone. Records without URL or time resolve nothing, and aren't dealt.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,13 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.columns import pick
-from tessella.plans.lineage import spool
+from tessella.plans.lineage import scratch, spool
 
-#: Headers of a stored response that a not-modified answer leaves as they are; all others it may update.
-KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
+#: Headers of a stored response that a not-modified answer leaves as they are: what describes the stored body, and what
+#: concerns one connection only. All others it may update.
+KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding", "connection", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "upgrade")
 #: Query parameters that name no other page.
 _TRACKING = "^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)="
 
+#: Bytes of an archive file at most; bytes of URLs, two for each range, that are broadcast at most.
+MOST_BYTES, BROADCAST_BYTES = 1 << 30, 10_000_000
+
 RECORD = "record_id string, kind string, url string, ts long, status int, headers map<string,string>, digest string, payload binary"
 
 
@@ -59,6 +66,41 @@ def merge_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
 
 
+def _seen(what: Column | str) -> Column:
+    """A response by time, id, digest and a hash of its headers, with ``what``; the greatest of several is the latest."""
+    return F.when(F.col("kind") == "response", F.struct("ts", "record_id", "digest", F.xxhash64(F.map_entries("headers")).alias("tie"), what))
+
+
+def _carried(dealt: DataFrame) -> DataFrame:
+    """_part, url_key, _first, _last, _before for URLs that go on from earlier ranges: the first time in this range, and
+    of the earlier ones the latest response, and the latest one before that time. Rows of one URL and one time may be
+    in several ranges, so the latest response of an earlier range needn't be strictly before."""
+    # only the first and the last URL of a range can go on from one range into another
+    edges = spool(dealt.groupBy("_part").agg(F.min("url_key").alias("_from"), F.max("url_key").alias("_to")))
+    size = edges.agg(F.sum(F.octet_length("_from") + F.octet_length("_to"))).first()[0] or 0
+    edges = F.broadcast(edges) if size <= BROADCAST_BYTES else edges
+    ends = dealt.select("_part", "url_key", "ts", _seen("_row").alias("_seen")).join(edges, "_part")
+    ends = ends.filter((F.col("url_key") == F.col("_from")) | (F.col("url_key") == F.col("_to"))).drop("_from", "_to")
+    parts = ends.groupBy("_part", "url_key").agg(F.min("ts").alias("_first"), F.max("ts").alias("_end"), F.max("_seen").alias("_last"))
+    several = spool(parts.withColumn("_n", F.count("*").over(Window.partitionBy("url_key"))).filter("_n > 1").drop("_n"))
+    # what each of these ranges has seen before its last time
+    rows = ends.join(several.select("_part", "url_key", "_end"), ["_part", "url_key"]).filter(F.col("ts") < F.col("_end"))
+    short = rows.groupBy("_part", "url_key").agg(F.max("_seen").alias("_short"))
+    parts = several.join(short, ["_part", "url_key"], "left")
+    before = Window.partitionBy("url_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_all": F.max("_last").over(before), "_short": F.max("_short").over(before)})
+    # ends of ranges before a range's first time are strictly before it: an as-of of its own, over ends and firsts
+    marks = parts.select("url_key", F.col("_end").alias("_at"), F.col("_last").alias("_seen"), F.lit(None).cast("int").alias("_part"))
+    marks = marks.unionByName(parts.select("url_key", F.col("_first").alias("_at"), F.lit(None).cast(parts.schema["_last"].dataType).alias("_seen"), "_part"))
+    at = Window.partitionBy("url_key").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("_ended", F.max("_seen").over(at)).filter("_part is not null").select("_part", "url_key", "_ended")
+    parts = parts.join(marks, ["_part", "url_key"]).select("_part", "url_key", "_first", F.col("_all").alias("_last"), F.greatest("_ended", "_short").alias("_before"))
+    responses = dealt.select("_row", _seen(F.map_entries("headers").alias("headers")).alias("_found"))
+    for name in ("_last", "_before"):
+        parts = parts.withColumn("_row", F.col(f"{name}._row")).drop(name).join(responses, "_row", "left").withColumnRenamed("_found", name).drop("_row")
+    return parts.filter("_last is not null or _before is not null")
+
+
 def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per revisit: record_id, url_key, ts, outcome, response_id, digest, headers.
 
@@ -71,19 +113,23 @@ def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame
     """
     slim = pick(records, "record_id", "kind", "url", "ts", "status", "headers", "digest", record_id="string", kind="string", url="string", ts="long", status="int", headers="map<string,string>", digest="string")
     slim = slim.filter(F.col("kind").isin("response", "revisit")).select("record_id", "kind", canonical(F.col("url")).alias("url_key"), "ts", "status", lower_names(F.coalesce("headers", F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))"))).alias("headers"), "digest")
-    order = [F.col("url_key"), F.col("ts")]
-    dealt = slim.repartitionByRange(ranges, *order) if ranges else slim.repartitionByRange(*order)
-    dealt = spool(dealt.withColumn("_part", F.spark_partition_id()))
-    full = (F.col("kind") == "response") & F.coalesce(F.col("status").between(200, 299), F.lit(True)) & F.col("url_key").isNotNull() & F.col("ts").isNotNull()
-    seen = F.when(full, F.struct("ts", "record_id", "digest", F.map_entries("headers").alias("headers")))
+    known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    full = (F.col("kind") == "response") & F.coalesce(F.col("status").between(200, 299), F.lit(True))
+    timeless = slim.filter(~known & (F.col("kind") == "revisit"))
+    with scratch() as keep:
+        order = [F.col("url_key"), F.col("ts"), F.xxhash64("record_id")]
+        timed = slim.filter(known & (full | (F.col("kind") == "revisit")))
+        dealt = timed.repartitionByRange(ranges, *order) if ranges else timed.repartitionByRange(*order)
+        dealt = keep(spool(dealt.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})))
+        carried = keep(spool(_carried(dealt)))
+    entries = F.map_entries("headers").alias("headers")
+    seen = _seen(entries)
     earlier = Window.partitionBy("_part", "url_key").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     rows = dealt.withColumn("_own", F.max(seen).over(earlier)).filter(F.col("kind") == "revisit")
-
-    per_range = dealt.filter("url_key is not null").groupBy("url_key", "_part").agg(F.max(seen).alias("_last"))
-    spread = per_range.groupBy("url_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("url_key")  # fewer than ranges
-    before = Window.partitionBy("url_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_range.join(F.broadcast(spread), "url_key").withColumn("_carried", F.max("_last").over(before)).select("url_key", "_part", "_carried").filter("_carried is not null")
-    rows = rows.join(F.broadcast(carried), ["url_key", "_part"], "left").withColumn("_of", F.coalesce("_own", "_carried"))
+    # carried has a row or none for each range, and goes where the window has the rows: nothing is broadcast
+    rows = rows.join(carried.hint("merge"), ["_part", "url_key"], "left")
+    rows = rows.withColumn("_of", F.greatest("_own", F.when(F.col("ts") > F.col("_first"), F.col("_last")).otherwise(F.col("_before")))).drop("_first", "_last", "_before", "_part", "_row")
+    rows = rows.unionByName(timeless.withColumns({"_own": F.lit(None).cast(rows.schema["_own"].dataType), "_of": F.lit(None).cast(rows.schema["_of"].dataType)}))
 
     stored = F.map_from_entries("_of.headers")
     rows = rows.withColumns({"_stored": stored, "_tag": _tag(stored), "_tag2": _tag(F.col("headers")), "_mod": F.element_at(stored, "last-modified"), "_mod2": F.element_at("headers", "last-modified")})
@@ -106,28 +152,48 @@ def materialise(records: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def parse(content: bytes) -> Iterator[dict]:
     """Records of a WARC file, gzipped (by member or whole) or plain; HTTP headers of responses and revisits are read,
-    and what follows them is the payload. A record cut short ends the file."""
+    and what follows them is the payload.
+
+    The file ends with the first record that is cut short, has no number as its length, or doesn't start like a record,
+    and where its compression is broken. A time that is none is null."""
     stream: io.BufferedIOBase = io.BytesIO(content)
     if content[:2] == b"\x1f\x8b":
         stream = gzip.open(stream)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            return
-        fields = _headers(stream)
-        block = stream.read(int(fields.get("content-length", "0")))
-        if len(block) < int(fields.get("content-length", "0")):
-            return
-        kind, http, status = fields.get("warc-type", ""), {}, None
-        if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
-            inner = io.BytesIO(block)
-            said = inner.readline().split()
-            status = int(said[1]) if len(said) > 1 and said[1].isdigit() else None
-            http = _headers(inner)
-            block = inner.read()
-        time = pd.Timestamp(fields["warc-date"]) if "warc-date" in fields else None
-        yield {"record_id": fields.get("warc-record-id"), "kind": kind, "url": fields.get("warc-target-uri", "").strip("<>") or None, "ts": None if time is None else int(time.timestamp() * 1_000_000), "status": status, "headers": http, "digest": fields.get("warc-payload-digest"), "payload": block}
+    try:
+        while line := stream.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                return
+            fields = _headers(stream)
+            length = fields.get("content-length", "0")
+            if not (length.isascii() and length.isdigit()):
+                return
+            block = stream.read(int(length)) if len(length) < 19 else b""
+            if len(block) < int(length):
+                return
+            yield _record(fields, block)
+    except (EOFError, OSError, zlib.error):
+        return
+
+
+def _record(fields: dict[str, str], block: bytes) -> dict:
+    kind, http, status = fields.get("warc-type", ""), {}, None
+    if kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        inner = io.BytesIO(block)
+        said = inner.readline().split()
+        status = int(said[1]) if len(said) > 1 and re.fullmatch(rb"[0-9]{3}", said[1]) else None
+        http = _headers(inner)
+        block = inner.read()
+    return {"record_id": fields.get("warc-record-id"), "kind": kind, "url": fields.get("warc-target-uri", "").strip("<>") or None, "ts": _microseconds(fields.get("warc-date")), "status": status, "headers": http, "digest": fields.get("warc-payload-digest"), "payload": block}
+
+
+def _microseconds(date: str | None) -> int | None:
+    try:
+        time = pd.Timestamp(date) if date else pd.NaT
+        return None if time is pd.NaT else int(time.timestamp() * 1_000_000)
+    except (ValueError, OverflowError):
+        return None
 
 
 def _headers(stream) -> dict[str, str]:
@@ -152,8 +218,13 @@ def render(record: dict) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under ``path``; a task reads a file at a time."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """The records of all WARC files under ``path``; a task reads a file at a time.
+
+    A file is one value in a task's memory, through whatever store Spark reads; its records are read one by one. Files
+    of more than ``MOST_BYTES`` are an error that names them: such archives have to be split between records."""
+    files = spark.read.format("binaryFile").load(path)
+    large = F.raise_error(F.concat(F.col("path"), F.lit(f" has more than {MOST_BYTES} bytes")))
+    files = files.select(F.when(F.col("length") > MOST_BYTES, large.cast("binary")).otherwise(F.col("content")).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

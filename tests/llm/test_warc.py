@@ -112,3 +112,42 @@ def test_crawl_of_pages_with_nulls_and_clashing_names(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("kind", F.lit("z")).withColumn("ts", F.lit(1))
     got = {(r.record_id, r.outcome) for r in warc.resolve_revisits(warc.captures(df)).collect()}
     assert got == {("v1", "validator mismatch"), ("v2", "no response"), ("v3", "resolved"), (None, "no response")}
+
+
+def test_one_url_at_few_times_over_many_ranges(spark):
+    """Rows of one URL and one time come in several ranges; a response of the revisit's own time is no earlier one."""
+    rng = random.Random(5)
+    rows = [(f"r{i:04}", rng.choice(["response", "revisit"]), rng.choice(["http://hot.org", "http://hot.org", "http://hot.org", None]), rng.choice([1, 2, 2, 2, 2, 3]), 200, {"ETag": '"e"', "X-Id": str(i)}, "d", b"") for i in range(300)]
+    key = {"http://hot.org": "hot.org", None: None}
+    for ranges in (1, 40):
+        got = [(r.record_id, r.outcome, r.response_id, r.headers) for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD), ranges).collect()]
+        assert sorted(got, key=lambda r: r[0]) == brute(rows, key)
+
+
+def test_connection_headers_stay_as_stored(spark):
+    rows = [("a", "response", "u", 1, 200, {"ETag": "x", "Connection": "close", "Age": "1"}, None, b""), ("b", "revisit", "u", 2, 304, {"ETag": "x", "Connection": "keep-alive", "Upgrade": "h2c", "TE": "gzip", "Age": "2"}, None, None)]
+    assert warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).first().headers == {"etag": "x", "connection": "close", "age": "2"}
+
+
+def test_malformed_files_end_and_do_not_fail():
+    whole = warc.render({"record_id": "a", "kind": "response", "url": "u", "ts": 0, "status": 200, "headers": {"x": "1"}, "payload": b"abc"})
+    assert len(list(warc.parse(gzip.compress(whole) + gzip.compress(whole)[:-9]))) in (1, 2)
+    assert len(list(warc.parse(whole + whole.replace(b"Content-Length: ", b"Content-Length: x")))) == 1
+    assert len(list(warc.parse(whole + whole.replace(b"Content-Length: ", b"Content-Length: 9999999999999999999999")))) == 1
+    late = whole.replace(b"WARC-Date: 1970", b"WARC-Date: no time at all 1970")
+    assert [r["ts"] for r in warc.parse(late + whole)] == [None, 0]
+    rng = random.Random(7)
+    for raw in (whole * 3, gzip.compress(whole) * 3):
+        for _ in range(400):
+            broken = bytearray(raw)
+            for _ in range(rng.randrange(1, 6)):
+                broken[rng.randrange(len(broken))] = rng.randrange(256)
+            for r in warc.parse(bytes(broken[: rng.randrange(len(broken) + 1)])):
+                assert set(r) == {"record_id", "kind", "url", "ts", "status", "headers", "digest", "payload"}
+
+
+def test_files_beyond_the_limit_are_named(spark, tmp_path, monkeypatch):
+    (tmp_path / "large.warc").write_bytes(b"x" * 100)
+    monkeypatch.setattr(warc, "MOST_BYTES", 50)
+    with pytest.raises(Exception, match="large.warc has more than 50 bytes"):
+        warc.read_warc(spark, str(tmp_path)).collect()
