@@ -78,6 +78,80 @@ def test_no_labels_and_no_rows(labelled):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def small_model(rng):
+    docs = [rng.integers(0, toxicity.BUCKETS, (n, 2)).astype(np.int32) for n in (0, 1, 2, 3, 9, 40, 700)]
+    p = toxicity.beginning(docs, np.array([0, 1, 0, 1, 0, 1, 0.0]), rng)
+    for k, v in p.items():
+        v += rng.normal(0, 0.2, v.shape)
+    p["e"][-1] = 0
+    return docs, p
+
+
+def test_scores_are_those_of_a_plain_convolution(monkeypatch):
+    rng = np.random.default_rng(6)
+    docs, p = small_model(rng)
+    model = toxicity.Model(p["e"].astype(np.float32), {w: p[f"f{w}"] for w in toxicity.WIDTHS}, {w: p[f"b{w}"] for w in toxicity.WIDTHS}, p["out"], float(p["ob"][0]))
+    want = []
+    for d in docs:
+        x = np.concatenate([np.zeros((2, toxicity.DIM)), p["e"][d[:, 0]] + p["e"][d[:, 1]], np.zeros((2, toxicity.DIM))])
+        pooled = [max(sum(x[i + o] @ p[f"f{w}"][o][:, k] for o in range(w)) for i in range(len(d) + 2)) + p[f"b{w}"][k] for w in toxicity.WIDTHS for k in range(toxicity.FILTERS)]
+        want.append(1 / (1 + np.exp(-(np.maximum(pooled, 0) @ p["out"] + p["ob"][0]))))
+    assert model.score(docs) == pytest.approx(want, abs=1e-5)
+    for windows in (1, 2, 37):  # pieces of long texts, and many texts at once, change nothing
+        monkeypatch.setattr(toxicity, "WINDOWS", windows)
+        assert model.score(docs) == pytest.approx(want, abs=1e-5)
+    texts = ["", None, "one", "a b c " * 50, "x"]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 3)
+    assert model.score_texts(texts) == pytest.approx(model.score([toxicity.buckets(t) for t in texts]), abs=1e-6)
+    assert len(model.score_texts([])) == 0
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(7)
+    docs, p = small_model(rng)
+    labels, weight = np.array([0, 1, 0, 1, 0, 1, 0.0]), rng.uniform(0.5, 2, 7)
+    words, starts = toxicity.together(docs)
+    _, g, rows = toxicity.gradients(p, words, starts, labels, weight)
+    for key, v in p.items():
+        for _ in range(30):
+            place = (int(rng.choice(rows[:-1])), int(rng.integers(0, toxicity.DIM))) if key == "e" else tuple(rng.integers(0, n) for n in v.shape)
+            was, step, ends = v[place], 1e-6, []
+            for sign in (1, -1):
+                v[place] = was + sign * step
+                ends.append(toxicity.gradients(p, words, starts, labels, weight)[0])
+            v[place] = was
+            mine = g[key][np.searchsorted(rows, place[0]), place[1]] if key == "e" else g[key][place]
+            assert mine == pytest.approx((ends[0] - ends[1]) / (2 * step), abs=1e-6)
+
+
+def test_one_long_text_leaves_the_sample_whole(labelled, monkeypatch):
+    docs, labels = labelled
+    long = docs.sparkSession.createDataFrame([(i, "word " * 50_000, "en", "s", 1) for i in range(20_000, 20_005)], SCHEMA)
+    more = docs.sparkSession.createDataFrame([(i, 0, i % 2) for i in range(20_000, 20_005)], labels.schema)
+    want = toxicity.sample(docs, labels).count()
+    assert toxicity.sample(docs.union(long), labels.union(more)).count() == want
+    monkeypatch.setattr(toxicity, "MAX_CHARS", 30_000)
+    some = toxicity.sample(docs, labels).groupBy("toxic").count().collect()
+    assert len(some) == 2 and sum(r["count"] for r in some) < want
+
+
+def test_thresholds_do_not_hang_on_one_row(labelled):
+    class Told:
+        thresholds: dict = {}
+        default_threshold = 0.0
+
+        def score(self, docs):
+            return np.array([d[0] for d in docs])
+
+    n = 2000
+    clean = np.linspace(0, 0.6, n)
+    langs = ["en"] * 1800 + ["de"] * 200
+    clean[1900] = 0.99  # one odd row of a small language
+    model = Told()
+    toxicity.calibrate(model, [np.array([x]) for x in clean], np.zeros(n), langs)
+    assert model.thresholds["de"] == model.default_threshold < 0.7 and model.thresholds["en"] < 0.7
+
+
 def ordered_text(rng, n):
     """Words in which each follows from the one before."""
     out, at = [], rng.randrange(30)
