@@ -24,23 +24,26 @@ KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 #: Width of the sliding window, and the least entropy (bits a character) of its best position by class. The most a
-#: window of 20 can have is log2(20) = 4.32, over hexadecimal digits 4.
+#: window of 20 can have is log2(20) = 4.32, over hexadecimal digits 4. Candidates shorter than the window are held
+#: against the same share of what their length can have.
 WINDOW = 20
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
+THRESHOLDS = {"hex": 3.0, "alpha": 4.0, "alnum": 3.7, "base64": 3.9}
 
-#: Harmless shapes: identifiers, words joined by - or _, paths, and runs of letters in one case.
+#: Harmless shapes: identifiers, words joined by - or _ or /, paths, and numbers. A word is letters in one case, with or
+#: without a capital, or several such in a row that begin with capitals, of two letters or more.
+_PLAIN = r"(?:[A-Z]+|[A-Z]?[a-z]+|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+)"
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"[A-Za-z]+(?:[-_/=+][A-Za-z]+)*"),
+    re.compile(rf"{_PLAIN}(?:[-_/=+]{_PLAIN})*"),
     re.compile(r"/?[a-z0-9]{1,12}(?:/[a-z0-9]{1,12})+/?"),
     re.compile(r"[0-9+=_-]+"),
 )
 
 _XLOGX = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
-_CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alnum", re.compile(r"[A-Za-z0-9]+")))
+_CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+")), ("alpha", re.compile(r"[A-Za-z]+")), ("alnum", re.compile(r"[A-Za-z0-9]+")))
 
 
 def char_class(string: str) -> str:
@@ -74,6 +77,11 @@ def best_window(string: str, window: int = WINDOW) -> float:
     return math.log2(width) - least / width
 
 
+def threshold(string: str) -> float:
+    """The entropy from which a candidate is reported."""
+    return THRESHOLDS[char_class(string)] * min(1.0, math.log2(len(string)) / math.log2(WINDOW))
+
+
 def allowed(string: str) -> bool:
     return any(form.fullmatch(string) for form in ALLOW)
 
@@ -86,7 +94,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     for m in _CANDIDATE.finditer(text):
         string = m.group()
-        if not allowed(string) and best_window(string) >= THRESHOLDS[char_class(string)]:
+        if not allowed(string) and best_window(string) >= threshold(string):
             found.append((m.start(), 3, m.end()))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 

@@ -180,6 +180,38 @@ def test_entropy_spans_and_allow_list():
         assert not [x for x in secrets_scan.scan(harmless) if x[0] == "entropy"]
 
 
+def brute_entropy(text):
+    """Spans of candidates by all their windows, with classes and shapes written out anew."""
+    word = r"([A-Z]+|[A-Z]?[a-z]+|[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})+)"
+    harmless = [r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", rf"{word}([-_/=+]{word})*", r"/?[a-z0-9]{1,12}(/[a-z0-9]{1,12})+/?", r"[0-9+=_-]+"]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        s = m.group()
+        if any(re.fullmatch(f, s) for f in harmless):
+            continue
+        least = 3.0 if set(s) <= set("0123456789abcdefABCDEF") else 4.0 if s.isalpha() else 3.7 if s.isalnum() else 3.9
+        least *= min(1, math.log2(len(s)) / math.log2(20))
+        if max(entropy(s[i : i + 20]) for i in range(max(1, len(s) - 19))) >= least - 1e-12:
+            out.append(("entropy", m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_like_brute_force(corpus):
+    rng = random.Random(12)
+    alphabets = ["abcdef0123456789", "ABCDEFGHIJKLMabcdefghijklmnop", "abcdefghijklmnopqrstuvwxyzABC0123456789", "abc/+=_-XYZ019", "0123456789-", "ab"]
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.randrange(10, 50))) for a in alphabets) for _ in range(150)]
+    texts += [f"{w}{x}" for w in ("getUserAccountInformationFromDatabase", "SOME-upper-And-lower", "MixedCaseWordsInARowHere") for x in ("", "X", "9", "/x")]
+    texts += [t or "" for _, t, *_ in corpus]
+    found = [brute_entropy(t) for t in texts]
+    assert sum(map(len, found)) > 100
+    assert [[x for x in secrets_scan.scan(t) if x[0] == "entropy"] for t in texts] == found
+
+
+def test_letters_of_both_cases_are_no_word():
+    assert ("entropy", 0, 40) in secrets_scan.scan("qWeRtZuIoPaSdFgHjKlYxCvBnMqAzWsXeDcRfVtG")
+    assert not [x for x in secrets_scan.scan("getUserAccountInformationFromDatabase") if x[0] == "entropy"]
+
+
 def test_redaction_joins_overlaps():
     text = "x token=abcdefabcdefabcdef01 y"
     assert secrets_scan.redact(text, secrets_scan.scan(text)) == "x [SECRET] y"
