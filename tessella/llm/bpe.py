@@ -46,6 +46,12 @@ class Codec(dict):
         model, letters = told["model"], byte_letters()
         if model["type"] != "BPE" or (told.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or told.get("normalizer"):
             raise ValueError("only byte-level BPE without a normalizer is supported")
+        split = told["pre_tokenizer"]
+        odd = [k for k in ("dropout", "ignore_merges", "byte_fallback", "fuse_unk", "continuing_subword_prefix", "end_of_word_suffix", "unk_token") if model.get(k)]
+        odd += ["add_prefix_space"] * bool(split.get("add_prefix_space")) + ["use_regex"] * (split.get("use_regex") is False)
+        odd += [k for t in told.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word") if t.get(k)]
+        if odd:
+            raise ValueError(f"vocabularies with {', '.join(sorted(set(odd)))} are encoded otherwise, and not supported")
         vocab = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.first = [0] * 256
@@ -166,7 +172,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 if with_ids:
                     out["ids"].append(ids)
                     out["decoded"].append(decoded)
-            frame = pd.DataFrame({k: v for k, v in out.items() if v or k[:2] not in ("id", "de") or k.endswith("256")})
+            frame = pd.DataFrame({k: v for k, v in out.items() if with_ids or k not in ("ids", "decoded")})
             frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield frame
 

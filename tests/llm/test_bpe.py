@@ -69,3 +69,15 @@ def test_table(docs, clashing, empty, corpus, library):
     assert bpe.tokenize(empty, bpe.default_path()).count() == 0
     full = bpe.tokenize(docs, bpe.default_path(), with_ids=True).filter("doc_id = 0").first()
     assert full.decoded == corpus[0][1] and full.n_tokens == len(full.ids)
+
+
+def test_vocabularies_that_are_encoded_otherwise_are_refused(empty):
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    for part, key, value in (("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "use_regex", False), ("model", "dropout", 0.1), ("model", "ignore_merges", True), ("model", "byte_fallback", True)):
+        with pytest.raises(ValueError, match=key):
+            bpe.Codec(json.dumps({**told, part: {**told[part], key: value}}))
+    assert bpe.tokenize(empty, bpe.default_path(), with_ids=True).columns[-2:] == ["ids", "decoded"]
+    assert bpe.tokenize(empty, bpe.default_path(), with_ids=True).count() == 0
