@@ -121,9 +121,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return _with_cutoffs(rows, cutoffs).select("doc_id", "size", "source_size", "target", _taken().alias("taken"))
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, length_col: str = "n_chars") -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, as often as taken; where a repetition is cut, the
-    text has the words it takes, joined by spaces. Documents without words aren't in a mix of words.
+    text has the words it takes, joined by spaces, and ``length_col``, if there is one, its number of code points.
+    Documents without words aren't in a mix of words.
     """
     _, cutoffs = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed)
     names = docs.columns
@@ -135,8 +136,9 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     mixed = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).withColumn("_part", F.col("_taken") - (F.col("_copy") - 1) * F.col("size"))
     text = of(text_col)
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1)), F.lit(1), F.col("_part").cast("int")), " ")
-    out = {n: F.col(f"_in{i}") for i, n in enumerate(names)}
-    return mixed.select(*[(F.when(F.col("_part") < F.col("size"), cut).otherwise(c) if n == text_col else c).alias(n) for n, c in out.items()])
+    short = F.col("_part") < F.col("size")
+    new = {text_col: cut, length_col: F.length(cut)}
+    return mixed.select(*[(F.when(short, new[n].cast(fresh.schema[f"_in{i}"].dataType)).otherwise(F.col(f"_in{i}")) if n in new and i == names.index(n) else F.col(f"_in{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
