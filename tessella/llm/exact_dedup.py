@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.withColumn("group_size", F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts agree in MD5 and SHA-256"))))
     groups = groups.select("_key", "keep_id", "group_size")
     slim = rows.select("doc_id", "_key", "text_sha256")
-    found = lookup(slim, groups, "_key", "group_size", docs.count(), F.coalesce(F.col("doc_id"), F.rand(5) * 1e9))
+    found = lookup(slim, groups, "_key", "group_size", docs.count(), F.xxhash64("doc_id", "text_sha256"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
