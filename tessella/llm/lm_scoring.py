@@ -40,7 +40,7 @@ CLASSES, EACH, DIM, WINDOW = 32, 32, 16, 2
 #: Ids by falling count; the last ones are buckets for all other words, by hash. The least vocabulary, its buckets, and
 #: the occurrences, as a multiple of the square root of the number of tokens, from which a word has its own id; the
 #: greatest vocabulary, whose weights of 20 MB go to every worker.
-VOCABULARY, OTHERS, OWN, MOST = CLASSES * EACH, 124, 0.2, 1 << 16
+VOCABULARY, OTHERS, OWN, MOST = CLASSES * EACH, 124, 0.2, 255 * 255
 RATE, BATCH, SEED = 0.3, 8192, 11
 #: Distinct words that a task counts before it hands on its counts; words whose id a worker remembers.
 COUNTED, REMEMBERED = 200_000, 100_000
@@ -199,10 +199,25 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(np.einsum("ij->i", z))
 
 
-def _by_class(target: np.ndarray, side: int) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort((target // side).astype(np.int16 if side < 2**15 else np.int64), kind="stable")
-    cuts = np.searchsorted((target // side)[order], np.arange(side + 1))
-    return [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+def _short(x: np.ndarray) -> np.ndarray:
+    """Ids, and the pad, in two bytes: these are sorted fastest."""
+    return x.astype(np.uint16)
+
+
+def _forward(w: Weights, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the tokens by class, (class, from, to) within that order, and in that order hidden states and the
+    logits of classes and of tokens within their class)."""
+    side = len(w["word"])
+    of = ids[rows] // side
+    order = np.argsort(_short(of), kind="stable")
+    rows, of = rows[order], of[order]
+    h = np.tanh(sum(w["in"][k][ids[rows + o]] for k, o in enumerate(OFFSETS)))
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    parts = list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(rows)]))
+    within = w["word_bias"][of]
+    for c, a, b in parts:
+        within[a:b] += h[a:b] @ w["word"][c]
+    return order, parts, h, h @ w["class"] + w["class_bias"], within
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -210,12 +225,9 @@ def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray
     out, side = np.empty(len(at)), len(w["word"])
     for a in range(0, len(at), BATCH):
         rows = at[a : a + BATCH]
-        h = np.tanh(sum(w["in"][k][ids[rows + o]] for k, o in enumerate(OFFSETS)))
-        target = ids[rows]
-        got = _log_softmax_at(h @ w["class"] + w["class_bias"], target // side)
-        for c, own in _by_class(target, side):
-            got[own] += _log_softmax_at(h[own] @ w["word"][c] + w["word_bias"][c], target[own] % side)
-        out[a : a + BATCH] = got
+        order, _, _, classes, within = _forward(w, ids, rows)
+        target = ids[rows[order]]
+        out[a + order] = _log_softmax_at(classes, target // side) + _log_softmax_at(within, target % side)
     return out
 
 
@@ -223,26 +235,32 @@ def gradients(w: Weights, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[s
     """Gradients of the mean negative log probability of the tokens at ``rows``: (weights, gradient, what part of them).
     Weights may be changed by a gradient once the next one is asked for: they aren't used again."""
     n, side = len(rows), len(w["word"])
-    near = [ids[rows + o] for o in OFFSETS]
-    h = np.tanh(sum(w["in"][k][x] for k, x in enumerate(near)))
-    target = ids[rows]
-    p = _softmax(h @ w["class"] + w["class_bias"])
-    p[np.arange(n), target // side] -= 1
-    p /= n
+    order, parts, h, classes, within = _forward(w, ids, rows)
+    rows = rows[order]
+    target, each = ids[rows], np.arange(n)
+    p, q = _softmax(classes), _softmax(within)
+    for x, at in ((p, target // side), (q, target % side)):
+        x[each, at] -= 1
+        x /= n
     dh = p @ w["class"].T
-    for c, own in _by_class(target, side):
-        mine = h[own]
-        q = _softmax(mine @ w["word"][c] + w["word_bias"][c])
-        q[np.arange(len(own)), target[own] % side] -= 1
-        q /= n
-        dh[own] += q @ w["word"][c].T
-        yield "word", mine.T @ q, c
-        yield "word_bias", q.sum(axis=0), c
+    told = np.empty((len(parts), h.shape[1], side), dtype=h.dtype)
+    for i, (c, a, b) in enumerate(parts):
+        dh[a:b] += q[a:b] @ w["word"][c].T
+        np.matmul(h[a:b].T, q[a:b], out=told[i])
+    of = np.array([c for c, _, _ in parts])
+    yield "word", told, of
+    yield "word_bias", np.add.reduceat(q, [a for _, a, _ in parts], axis=0), of
     yield "class", h.T @ p, ...
     yield "class_bias", p.sum(axis=0), ...
     dh *= 1 - h * h
-    for k, x in enumerate(near):
-        order = np.argsort(x, kind="stable")
+    ids_in, width = w["in"].shape[1:]
+    for k, o in enumerate(OFFSETS):
+        x = ids[rows + o]
+        if ids_in <= 2 * n:  # sums of all rows at once, the pad's last
+            at = (x % ids_in)[:, None] * width + np.arange(width)
+            yield "in", np.bincount(at.ravel(), dh.ravel(), ids_in * width).reshape(ids_in, width).astype(dh.dtype), k
+            continue
+        order = np.argsort(_short(x), kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
         yield "in", np.add.reduceat(dh[order], cuts, axis=0), (k, x[order][cuts])
 
