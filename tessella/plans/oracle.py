@@ -5,8 +5,9 @@ Every text is a chain of expressions: the triples, their kinds, then representat
 
 from __future__ import annotations
 
-from tessella.functions.vocabulary import CLASS, DOMAIN, GENERIC, PROPERTY, RANGE, SCHEMA, SUBCLASS, SUBPROPERTY, TYPE, VARIANTS
+from tessella.functions.vocabulary import CLASS, DOMAIN, GENERIC, OWN, PROPERTY, RANGE, SCHEMA, SUBCLASS, SUBPROPERTY, TYPE, VARIANTS
 from tessella.operators.quotient import DATA_FIRST, KINDS, TOGETHER
+from tessella.sources.export import PALETTES
 from tessella.sources.tables import LABEL, schema_rows
 
 
@@ -20,18 +21,17 @@ _VALUES = ", ".join(f"('{s}', '{p}', '{o}')" for s, p, o in schema_rows())
 TRIPLES = f"""
 raw AS (
   SELECT '<urn:order/' || o_orderkey || '>' AS s, '<urn:p/placedBy_' || o_orderstatus || '>' AS p, '<urn:customer/' || o_custkey || '>' AS o FROM orders
-  UNION ALL SELECT '<urn:order/' || o_orderkey || '>', '<urn:p/priority_' || o_orderstatus || '>', '"' || o_orderpriority || '"' FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT '<urn:order/' || o_orderkey || '>', '{TYPE}', '<urn:class/order_' || o_orderstatus || '>' FROM orders WHERE o_orderkey % 5 <> 0
-  UNION ALL SELECT '<urn:order/' || o_orderkey || '>', '<urn:p/contains_' || o_orderstatus || '>', '<urn:part/' || l_partkey || '>' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 2 = 0
+  UNION ALL SELECT '<urn:order/' || o_orderkey || '>', CASE WHEN o_orderpriority < '3' THEN '<urn:p/urgency_' ELSE '<urn:p/priority_' END || o_orderstatus || '>', '"' || o_orderpriority || '"' FROM orders
+  UNION ALL SELECT '<urn:order/' || o_orderkey || '>', CASE WHEN o_orderpriority = '5-LOW' THEN '<urn:p/filed_' || o_orderstatus || '>' ELSE '{TYPE}' END, CASE WHEN o_orderpriority = '5-LOW' THEN '"5-LOW"' ELSE '<urn:class/order_' || o_orderstatus || '>' END FROM orders
+  UNION ALL SELECT '<urn:order/' || o_orderkey || '>', '<urn:p/contains_' || o_orderstatus || '>', '<urn:part/' || l_partkey || '>' FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   UNION ALL SELECT '<urn:customer/' || c_custkey || '>', '<urn:p/nation>', '<urn:nation/' || c_nationkey || '>' FROM customer
   UNION ALL SELECT '<urn:customer/' || c_custkey || '>', '<urn:p/segment>', '"' || c_mktsegment || '"' FROM customer
-  UNION ALL SELECT '<urn:customer/' || c_custkey || '>', '{TYPE}', '<urn:class/' || c_mktsegment || '>' FROM customer WHERE c_custkey % 3 <> 0
+  UNION ALL SELECT '<urn:customer/' || c_custkey || '>', CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '<urn:p/home>' ELSE '{TYPE}' END, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '<urn:nation/' || c_nationkey || '>' ELSE '<urn:class/' || c_mktsegment || '>' END FROM customer
   UNION ALL SELECT '<urn:part/' || p_partkey || '>', '<urn:p/brand>', '"' || p_brand || '"' FROM part
   UNION ALL SELECT '<urn:part/' || p_partkey || '>', '<urn:p/kind>', '"' || p_type || '"' FROM part
-  UNION ALL SELECT '<urn:part/' || p_partkey || '>', CASE WHEN p_partkey % 4 = 1 THEN '{VARIANTS[0]}' ELSE '{TYPE}' END, '<urn:class/' || regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '>' FROM part WHERE p_partkey % 4 <> 0
-  UNION ALL SELECT '<urn:supplier/' || s_suppkey || '>', '<urn:p/nation>', '<urn:nation/' || s_nationkey || '>' FROM supplier WHERE s_suppkey % 7 <> 0
-  UNION ALL SELECT '<urn:supplier/' || s_suppkey || '>', '{LABEL}', '"' || s_name || '"' FROM supplier WHERE s_suppkey % 7 = 0
-  UNION ALL SELECT '<urn:store/' || s_suppkey || '>', '{TYPE}', '<urn:class/Store>' FROM supplier WHERE s_suppkey % 11 = 0
+  UNION ALL SELECT '<urn:part/' || p_partkey || '>', CASE right(p_brand, 1) WHEN '1' THEN '{VARIANTS[0]}' WHEN '2' THEN '<urn:p/unclassified>' ELSE '{TYPE}' END, CASE right(p_brand, 1) WHEN '2' THEN '"' || p_brand || '"' ELSE '<urn:class/' || regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') || '>' END FROM part
+  UNION ALL SELECT '<urn:supplier/' || s_suppkey || '>', CASE WHEN s_nationkey < 8 THEN '{LABEL}' ELSE '<urn:p/nation>' END, CASE WHEN s_nationkey < 8 THEN '"' || s_name || '"' ELSE '<urn:nation/' || s_nationkey || '>' END FROM supplier
+  UNION ALL SELECT '<urn:store/' || s_suppkey || '>', '{TYPE}', '<urn:class/Store>' FROM supplier
   UNION ALL SELECT '<urn:nation/' || n_nationkey || '>', '<urn:p/region>', '<urn:region/' || n_regionkey || '>' FROM nation
   UNION ALL SELECT '<urn:nation/' || n_nationkey || '>', '{LABEL}', '"' || n_name || '"' FROM nation
   UNION ALL SELECT '<urn:event/' || event_id || '>', '<urn:p/by_' || event_type || '>', '<urn:user/' || user_id || '>' FROM events
@@ -137,6 +137,38 @@ UNION SELECT a.p, b.p, 'oo' FROM (SELECT DISTINCT o, p FROM {table}) a JOIN (SEL
 UNION SELECT a.p, b.p, 'ss' FROM (SELECT DISTINCT s, p FROM {table}) a JOIN (SELECT DISTINCT s, p FROM {table}) b ON a.s = b.s)"""
 
 
+#: Names of summary nodes: numbers in sorted order, in our namespace, but for schema nodes; edges between names.
+_NAMED = f"""nm AS (SELECT rep, number, CASE WHEN rep IN (SELECT node FROM sn) THEN rep ELSE '<{OWN}s' || number || '>' END AS name FROM (SELECT rep, row_number() OVER (ORDER BY rep) AS number FROM (SELECT DISTINCT rep FROM rep) r) r),
+ne AS (SELECT a.name AS s, p, b.name AS o, cnt, kind FROM edges JOIN nm a ON a.rep = s JOIN nm b ON b.rep = o),
+ns AS (SELECT rep, count(*) AS cnt FROM rep GROUP BY rep)"""
+_NTRIPLES = f"""{_NAMED}, reified AS (SELECT s, p, o, CAST(sum(cnt) AS BIGINT) AS cnt, row_number() OVER (ORDER BY s || chr(1) || p || chr(1) || o) - 1 AS n FROM ne GROUP BY s, p, o),
+four AS (SELECT '<{OWN}edges' || n || '> ' AS e, * FROM reified)
+SELECT s || ' ' || p || ' ' || o || ' .' AS value FROM ne UNION ALL SELECT name || ' <{OWN}nodeSupport> "' || cnt || '" .' FROM ns JOIN nm USING (rep)
+UNION ALL SELECT e || '<{OWN}reifiedEdgeSubject> ' || s || ' .' FROM four UNION ALL SELECT e || '<{OWN}reifiedEdgeProperty> ' || p || ' .' FROM four
+UNION ALL SELECT e || '<{OWN}reifiedEdgeObject> ' || o || ' .' FROM four UNION ALL SELECT e || '<{OWN}edgeSupport> "' || cnt || '" .' FROM four"""
+
+
+def _dot_label(term: str) -> str:
+    bare = lambda x: rf"regexp_replace({x}, '^<(.*)>$', '\1')"
+    last = lambda x: f"(CASE WHEN length({bare(x)}) > 20 THEN right({bare(x)}, 20) ELSE {bare(x)} END)"
+    segment = f"regexp_extract({bare(term)}, '([^/]*)/?$', 1)"
+    return _dot_escaped(f"CASE WHEN {term} LIKE '<%' THEN {last(segment)} ELSE {last(f"replace({term}, chr(34), '')")} END")
+
+
+def _dot_escaped(text: str) -> str:
+    return f"replace(replace({text}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+
+
+_COLOURS = "['" + "', '".join(PALETTES["light"]) + "']"
+_DOT = f"""{_NAMED}, de AS (SELECT * FROM ne WHERE kind <> 'generic' ORDER BY s, p, o, kind LIMIT 1000),
+dn AS (SELECT nm.name, nm.number, ns.cnt FROM (SELECT s AS name FROM de UNION SELECT o FROM de) x JOIN nm ON nm.name = x.name JOIN ns ON ns.rep = nm.rep)
+SELECT 'digraph summary {{' AS value UNION ALL SELECT '}}' UNION ALL SELECT '"' || {_dot_escaped('name')} || '" [label="' || {_dot_label('name')} || ' (' || cnt || ')", style=filled, fillcolor=' || {_COLOURS}[number % {len(PALETTES["light"])} + 1] || '];' FROM dn
+UNION ALL SELECT '"' || {_dot_escaped('s')} || '" -> "' || {_dot_escaped('o')} || '" [label="' || {_dot_label('p')} || ' (' || cnt || ')", style=' || CASE kind WHEN 'data' THEN 'solid' WHEN 'schema' THEN 'bold' ELSE 'dashed' END || '];' FROM de"""
+
+_UP = f"up(c, d) AS (SELECT s, o FROM t WHERE p = '{SUBCLASS}' UNION SELECT up.c, t.o FROM up JOIN t ON t.s = up.d AND t.p = '{SUBCLASS}'), every AS (SELECT c, d FROM up UNION SELECT d, d FROM up), tops AS (SELECT c, d FROM every WHERE d NOT IN (SELECT c FROM up))"
+_GENERAL = f"{_UP}, class_sets AS (SELECT s AS node, list_sort(list(DISTINCT coalesce(d, o))) AS classes FROM types LEFT JOIN tops ON c = o WHERE s NOT IN (SELECT node FROM sn) GROUP BY s)"
+
+
 _KIND = f"CASE WHEN p IN {_in(_TYPES)} THEN 'type' WHEN p IN {_in(SCHEMA)} THEN 'schema' WHEN p IN {_in(GENERIC)} THEN 'generic' ELSE 'data' END"
 _LEAF = "leaves AS (SELECT DISTINCT o AS node FROM edges WHERE kind <> 'type' AND o NOT IN (SELECT s FROM edges))"
 _MEASURES = lambda pairs, source: " UNION ALL ".join(f"SELECT '{n}' AS measure, CAST({e} AS BIGINT) AS value FROM {source}" for n, e in pairs)
@@ -182,6 +214,14 @@ every AS (SELECT c, d FROM up UNION SELECT d, d FROM up) SELECT c AS class, d AS
     "object_analysis": f"{PLAIN}, a AS (SELECT DISTINCT s FROM types), b AS (SELECT DISTINCT s FROM data), k AS (SELECT a.s AS x, b.s AS y FROM a FULL JOIN b ON a.s = b.s) " + _MEASURES([("typed", "count(x)"), ("with_data", "count(y)"), ("typed_with_data", "count(*) FILTER (x = y)"), ("untyped_with_data", "count(*) FILTER (x IS NULL)"), ("typed_without_data", "count(*) FILTER (y IS NULL)")], "k"),
     "untyped_ratio": f"{PLAIN}, n AS (SELECT count(*) AS nodes FROM (SELECT s FROM t UNION SELECT o FROM t) x), k AS (SELECT count(DISTINCT s) AS typed FROM t WHERE p = '{TYPE}') SELECT nodes, typed, 1 - CAST(typed AS DOUBLE) / nodes AS ratio FROM n, k",
     "graph_statistics": f"{PLAIN}, k AS (SELECT *, {_KIND} AS kind FROM t) " + _MEASURES([*((f"{k}_triples", f"count(*) FILTER (kind = '{k}')") for k in ("data", "type", "schema", "generic")), ("data_properties", "count(DISTINCT p) FILTER (kind IN ('data', 'generic'))")], "k") + f" UNION ALL SELECT 'nodes', count(*) FROM (SELECT s FROM t UNION SELECT o FROM t) x UNION ALL SELECT 'classes', count(*) FROM (SELECT o FROM t WHERE p IN {_in((DOMAIN, RANGE, SUBCLASS, *_TYPES))} UNION SELECT s FROM t WHERE p = '{SUBCLASS}') y",
+    "summary_ntriples": f"{edges('strong')}, {_NTRIPLES}",
+    "representation_ntriples": f"{edges('strong')}, {_NAMED} SELECT name || ' <http://www.w3.org/2004/02/skos/core#member> ' || node || ' .' AS value FROM rep JOIN nm USING (rep)",
+    "summary_dot": f"{edges('strong')}, {_DOT}",
+    "general_typed_edges": f"{edges('typedstrong').replace(_CLASSES, _GENERAL)} {_EDGES}",
+    "stored_edges": f"{edges('strong')} {_EDGES}",
+    "dictionary_decode": f"{PLAIN} SELECT s, p, o FROM t",
+    "dictionary_extend": f"{PLAIN}, k AS (SELECT s AS value FROM schema_t UNION SELECT p FROM schema_t UNION SELECT o FROM schema_t), d AS (SELECT s AS value FROM t UNION SELECT p FROM t UNION SELECT o FROM t) SELECT row_number() OVER (ORDER BY value NOT IN (SELECT value FROM k), value) AS key, value FROM d",
+    "ntriples_lines": f"{PLAIN} SELECT s, p, o FROM t",
     "inlined_edges": f"{edges('strong')} {_EDGES} WHERE kind IN ('data', 'generic')",
     "stream_strong_edges": f"{edges('strong')} {_EDGES}",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from tessella.operators import analysis, quotient
 from tessella.operators.saturation import saturate, top_classes
 from tessella.operators.summary import Summary, summarize, summarize_saturated, summarize_shortcut
-from tessella.sources import dictionary, export
+from tessella.plans.lineage import shared_dir, spool
+from tessella.sources import dictionary, export, ntriples, store
 from tessella.sources.tables import table_graph
 from tessella.streaming.incremental import replay
 
@@ -42,6 +44,22 @@ def _encoded(graph) -> DataFrame:
     return dictionary.encode(graph.all, dictionary.dictionary(graph.all))
 
 
+def _decoded(graph) -> DataFrame:
+    terms = spool(dictionary.dictionary(graph.all))
+    return dictionary.decode(dictionary.encode(graph.all, terms), terms)
+
+
+def _extended(graph) -> DataFrame:
+    """The dictionary of the schema, grown by the terms of all triples."""
+    return dictionary.extend(dictionary.dictionary(graph.schema), graph.all.select(F.explode(F.array("s", "p", "o")).alias("value")))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    store.save(summarize(table_graph(spark, sf_dir), "strong"), path)
+    return store.load(spark, path).edges
+
+
 QUERIES: dict[str, Query] = {
     "scan_types": _graph(lambda g: g.types),
     "scan_data": _graph(lambda g: g.data),
@@ -83,6 +101,11 @@ QUERIES: dict[str, Query] = {
     "untyped_ratio": _graph(analysis.untyped_ratio),
     "graph_statistics": _graph(analysis.statistics),
     "inlined_edges": _summary("strong", lambda s: s.schema_inlined()),
+    "general_typed_edges": lambda spark, d: summarize(table_graph(spark, d), "typedstrong", generalise=True).edges,
+    "stored_edges": _stored,
+    "dictionary_decode": _graph(_decoded),
+    "dictionary_extend": _graph(_extended),
+    "ntriples_lines": _graph(lambda g: ntriples.triples(ntriples.lines(g.all), strict=True)),
     "summary_ntriples": _summary("strong", lambda s: export.ntriples(s)),
     "representation_ntriples": _summary("strong", lambda s: export.representation_ntriples(s)),
     "summary_dot": _summary("strong", lambda s: export.dot_lines(s)),
