@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.vocabulary import among, equals
@@ -55,15 +55,32 @@ def _pass(graph: Graph) -> DataFrame:
     v, told, p = graph.vocabulary, graph.schema, F.col("p")
     supers = closure(told.filter(equals(p, v.subproperty))).toDF("p", "q")
     classes = closure(told.filter(equals(p, v.subclass))).toDF("o", "c")
-    used = graph.all
-    raised = used.join(supers, "p").select("s", F.col("q").alias("p"), "o")
-    every = used.union(raised)
     # what a property says of its ends: one row per property, end and class, superclasses included
-    ends = told.filter(equals(p, v.domain) | equals(p, v.range)).select(F.col("s").alias("p"), equals(p, v.domain).alias("_subject"), F.col("o").alias("o"))
-    ends = ends.union(ends.join(classes, "o").select("p", "_subject", F.col("c").alias("o"))).distinct().withColumnRenamed("o", "_class")
-    typed = every.join(ends, "p").select(F.when(F.col("_subject"), F.col("s")).otherwise(F.col("o")).alias("s"), F.lit(v.default_type).alias("p"), F.col("_class").alias("o"))
-    lifted = every.filter(v.is_type(F.col("p"))).join(classes, "o").select("s", "p", F.col("c").alias("o"))
-    return every.union(typed).union(lifted).distinct()
+    ends = told.filter(equals(p, v.domain) | equals(p, v.range)).select(F.col("s").alias("p"), equals(p, v.domain).alias("subject"), F.col("o").alias("o"))
+    ends = ends.union(ends.join(classes, "o").select("p", "subject", F.col("c").alias("o"))).distinct()
+    # triples are read once, and meet the schema as one row a property and a class
+    out = graph.all.join(_gathered(supers, "p", F.col("q"), "_supers"), "p", "left")
+    out = out.select("s", "o", F.explode(F.when(F.col("_supers").isNull(), F.array("p")).otherwise(F.array_union(F.array("p"), F.col("_supers")))).alias("p"))
+    out = out.join(_gathered(ends, "p", F.struct("subject", F.col("o").alias("class")), "_ends"), "p", "left")
+    out = out.join(_gathered(classes, "o", F.col("c"), "_above"), "o", "left")
+    triple = lambda s, p, o: F.struct(s.alias("s"), p.alias("p"), o.alias("o"))
+    own = F.array(triple(F.col("s"), F.col("p"), F.col("o")))
+    none = F.filter(own, lambda x: F.lit(False))
+    typed = F.transform("_ends", lambda e: triple(F.when(e["subject"], F.col("s")).otherwise(F.col("o")), F.lit(v.default_type), e["class"]))
+    lifted = F.when(v.is_type(F.col("p")), F.transform("_above", lambda c: triple(F.col("s"), F.col("p"), c)))
+    every = F.concat(own, F.coalesce(typed, none), F.coalesce(lifted, none))
+    return out.select(F.explode(every).alias("_t")).select("_t.s", "_t.p", "_t.o").distinct()
+
+
+#: Keys of a part of the schema that are broadcast at most; beyond that it is joined by a shuffle.
+BROADCAST_SCHEMA = 100_000
+
+
+def _gathered(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """[key, name]: a part of the schema with the values of each key as one array, to be broadcast if it is small."""
+    rows = spool(rows.groupBy(key).agg(F.collect_set(value).alias(name)))
+    few = rows.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0] <= BROADCAST_SCHEMA
+    return F.broadcast(rows) if few else rows
 
 
 def top_classes(graph: Graph) -> DataFrame:

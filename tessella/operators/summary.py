@@ -21,21 +21,25 @@ GENERAL = NO_SHORTCUT
 
 
 def quotient_edges(triples: DataFrame, rep: DataFrame) -> DataFrame:
-    """[s, p, o, cnt]: every triple between the representatives of its ends, counted."""
+    """[s, p, o, cnt, ...]: every triple between the representatives of its ends, counted, by further columns too.
+
+    Once subjects are mapped, triples are counted by (class, property, object): of an object that holds any share of all
+    triples there is a row a class and property then, so the join that maps the objects meets no hot key."""
+    by = ["p", *[c for c in triples.columns if c not in ("s", "p", "o")]]
     of = lambda end: rep.select(F.col("node").alias(end), F.col("rep").alias(f"_{end}"))
-    mapped = triples.join(of("s"), "s").join(of("o"), "o")
-    return mapped.groupBy(F.col("_s").alias("s"), "p", F.col("_o").alias("o")).agg(F.count("*").alias("cnt"))
+    halfway = triples.join(of("s"), "s").groupBy("_s", "o", *by).agg(F.count("*").alias("cnt"))
+    mapped = halfway.join(of("o"), "o").groupBy(F.col("_s").alias("s"), F.col("_o").alias("o"), *by).agg(F.sum("cnt").alias("cnt"))
+    return mapped.select("s", "p", "o", "cnt", *by[1:])
 
 
 def type_edges(graph: Graph, kind: Kind, rep: DataFrame) -> DataFrame:
     """Type edges as the kind's family has them.
 
     Data first: one for each type triple, by the default type property. Types first: one for each node and class, by
-    the default type property; of schema nodes as they stand. Data and types together: as ordinary triples.
+    the default type property; of schema nodes as they stand. Where data and types go together they are ordinary
+    triples, and not made here.
     """
-    v, default = graph.vocabulary, F.lit(graph.vocabulary.default_type)
-    if kind.family == TOGETHER:
-        return quotient_edges(graph.types, rep)
+    default = F.lit(graph.vocabulary.default_type)
     own = rep.select(F.col("node").alias("s"), F.col("rep").alias("_s"))
     if kind.family == TYPE_FIRST:
         schema = graph.schema_nodes.select(F.col("node").alias("s"))
@@ -135,11 +139,12 @@ def summarize(graph: Graph, kind: str = "strong", generalise: bool = False) -> S
     k = KINDS[kind]
     graph = graph if not graph.distinct else Graph(spool(graph.all), graph.vocabulary, distinct=False)
     rep = spool(representation(graph, k, generalise))
-    parts = [("data", quotient_edges(graph.data, rep)), ("schema", graph.schema.withColumn("cnt", F.lit(1).cast("long"))), ("type", type_edges(graph, k, rep)), ("generic", quotient_edges(graph.generic, rep))]
-    edges = None
-    for name, part in parts:
-        part = part.select("s", "p", "o", "cnt", F.lit(name).alias("kind"))
-        edges = part if edges is None else edges.union(part)
+    ordinary = ("data", "generic", "type") if k.family == TOGETHER else ("data", "generic")
+    kinds = graph.all.withColumn("kind", graph.vocabulary.kind(F.col("p")))
+    edges = quotient_edges(kinds.filter(F.col("kind").isin(*ordinary)), rep)
+    edges = edges.unionByName(graph.schema.select("s", "p", "o", F.lit(1).cast("long").alias("cnt"), F.lit("schema").alias("kind")))
+    if k.family != TOGETHER:
+        edges = edges.unionByName(type_edges(graph, k, rep).withColumn("kind", F.lit("type")))
     return Summary(graph, k, rep, spool(edges))
 
 

@@ -55,9 +55,16 @@ def encoded_graph(graph: Graph) -> tuple[Graph, DataFrame]:
     return Graph(encode(graph.all, terms), vocabulary_codes(terms, graph.vocabulary), distinct=False), terms
 
 
+#: Properties whose codes are broadcast at most; graphs have few, and each holds many rows.
+BROADCAST_PROPERTIES = 100_000
+
+
 def _translate(triples: DataFrame, by: DataFrame, missing: Column) -> DataFrame:
-    out = triples
-    for column in "spo":
+    """Subjects and objects by joins with all terms; of the properties only those in use are looked up there."""
+    used = spool(triples.select("p").distinct().join(by.withColumnRenamed("_from", "p"), "p", "left"))
+    used = F.broadcast(used) if used.count() <= BROADCAST_PROPERTIES else used
+    out = triples.join(used, "p", "left").withColumn("p", F.coalesce("_to", missing)).drop("_to")
+    for column in "so":
         out = out.join(by.withColumnRenamed("_from", column), column, "left").withColumn(column, F.coalesce("_to", missing)).drop("_to")
     return out.select("s", "p", "o")
 
