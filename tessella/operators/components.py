@@ -36,3 +36,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 left = left.join(hook.toDF(end, "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
             left = spool(left.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n)
         return keep(labels)
+
+
+def conflicts(replacements: DataFrame, node: str = "node", to: str = "to") -> DataFrame:
+    """[node]: nodes with several replacements, and nodes that are replaced by one that is itself replaced by another.
+    A table that says who stands for whom has none."""
+    told = replacements.select(F.col(node).alias("node"), F.col(to).alias("to")).filter("node <> `to`").distinct()
+    several = told.groupBy("node").count().filter("count > 1").select("node")
+    onward = told.join(told.select(F.col("node").alias("to")).distinct(), "to", "left_semi").select("node")
+    return several.union(onward).distinct()

@@ -27,10 +27,13 @@ class Options:
     export_ntriples: bool = True
     export_representation: bool = False
     export_statistics: bool = True
+    export_support_statistics: bool = False  # numbers of nodes and triples as N-Triples of their own
     support: bool = True
-    drawing: str = "none"  # plain, split_leaves, split_and_fold_leaves or none
+    drawing: str = "none"  # plain, split_leaves, split_and_fold_leaves, encoded (numbers), graph (the input) or none
     palette: str = "light"
-    step_by_step: str = "false"  # always, when_changes or false
+    png: bool = False  # also as a picture, if there is a dot program
+    step_by_step: str = "false"  # always, when_changes or false: draw the summary as the first triples come one by one
+    steps: int = 100  # so many of them
     overwrite: bool = False
 
     @classmethod
@@ -45,6 +48,10 @@ class Options:
                 if str(value).lower() not in ("true", "false"):
                     raise ValueError(f"{name} is true or false, and not {value!r}")
                 value = str(value).lower() == "true"
+            elif kinds[name] is int:
+                if not str(value).isdigit():
+                    raise ValueError(f"{name} is a number, and not {value!r}")
+                value = int(value)
             elif kinds[name] is tuple and isinstance(value, str):
                 value = tuple(x.strip() for x in value.split(",") if x.strip())
             told[name] = value
@@ -60,7 +67,7 @@ class Options:
             wrong.append(f"{self.kind} takes no shortcut")
         if self.replace_type_with_most_general_type and self.kind not in GENERAL:
             wrong.append(f"{self.kind} can't generalise types")
-        if self.drawing not in ("none", "plain", "split_leaves", "split_and_fold_leaves"):
+        if self.drawing not in ("none", "plain", "split_leaves", "split_and_fold_leaves", "encoded", "graph"):
             wrong.append(f"unknown drawing {self.drawing!r}")
         if self.step_by_step not in ("always", "when_changes", "false"):
             wrong.append(f"step_by_step is always, when_changes or false, and not {self.step_by_step!r}")

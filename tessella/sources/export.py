@@ -153,6 +153,15 @@ def dot_folded_leaves(summary: Summary, most: int = MOST, shown: int = CLASSES_S
     return _drawing(nodes.orderBy("name").limit(most).select(box.alias("value")), inner.orderBy("_s", "p", "_o").limit(most).select(arrow.alias("value")))
 
 
+def dot_encoded(summary: Summary, most: int = MOST) -> DataFrame:
+    """[value]: the summary with numbers for its nodes, as ``encoded_lines`` has them."""
+    named = names(summary)
+    of = lambda end: named.select(F.col("rep").alias(end), F.col("number").alias(f"_{end}"))
+    edges = summary.edges.join(of("s"), "s").join(of("o"), "o").orderBy("_s", "p", "_o", "kind").limit(most)
+    arrow = F.concat(F.col("_s").cast("string"), F.lit(" -> "), F.col("_o").cast("string"), F.lit(' [label="'), _label(F.col("p")), F.lit(" ("), F.col("cnt").cast("string"), F.lit(')"];'))
+    return _drawing(edges.select(arrow.alias("value")))
+
+
 def dot_graph(summary: Summary, palette: str = "light", most: int = 100) -> DataFrame:
     """[value]: the first triples of the input graph, nodes coloured by their class."""
     numbers = summary.rep.join(names(summary), "rep").select("node", "number")

@@ -1,9 +1,9 @@
 """Summaries of graphs that grow: triples arrive in batches, and the summary follows.
 
-State is a folder of Parquet tables, one partition per batch: the new distinct triples, and the links between
-properties that the batch made or changed. Writing a batch again replaces its partition, so a batch that Structured
-Streaming repeats after a failure counts once. Links only ever grow, so cliques follow from them without going back to
-the data; edges and representatives are recomputed from the triples, which is exact also when a late schema triple
+State is a folder of Parquet tables: the new distinct triples, one partition per batch, and a mark of the last
+snapshot. Writing a batch again replaces its partition, so a batch that Structured Streaming repeats after a failure
+counts once, and a stream that starts anew knows whether the summary has changed since. What is incremental is the
+set of triples; a summary is made from all of them when it is asked for, which is exact also when a late schema triple
 turns a node that was data into a schema node.
 """
 
@@ -42,7 +42,6 @@ class Growing:
     vocabulary: Vocabulary = field(default_factory=Vocabulary)
     snapshots: str = NEVER
     on_snapshot: Callable[[int, Summary], None] | None = None
-    _last: tuple | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -66,10 +65,19 @@ class Growing:
         fresh.write.mode("overwrite").parquet(f"{self.path}/triples/batch={number}")
         if self.snapshots != NEVER and self.on_snapshot:
             summary = self.summary()
-            now = tuple(summary.edges.agg(F.count("*"), F.sum("cnt"), F.bit_xor(F.xxhash64("s", "p", "o", "cnt"))).first())
-            if self.snapshots == ALWAYS or now != self._last:
+            now = ",".join(map(str, summary.edges.agg(F.count("*"), F.sum("cnt"), F.bit_xor(F.xxhash64("s", "p", "o", "cnt"))).first()))
+            if self.snapshots == ALWAYS or now != self._mark():
                 self.on_snapshot(number, summary)
-            self._last = now
+                self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/mark")
+
+    def _mark(self) -> str | None:
+        """What was seen at the last snapshot."""
+        try:
+            return next((r["value"] for r in self.spark.read.text(f"{self.path}/mark").collect()), None)
+        except Exception as error:  # there was none yet
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return None
 
     def graph(self) -> Graph:
         return Graph(self._stored().select("s", "p", "o"), self.vocabulary)

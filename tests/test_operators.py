@@ -177,7 +177,7 @@ def test_exports(spark):
     for made in (export.node_statistics_ntriples(summary), export.edge_statistics_ntriples(summary)):
         assert made.count() and all(ntriples.valid(r.value) for r in made.collect())
     assert export.encoded_lines(summary).count() == 13
-    for draw in (export.dot_lines, export.dot_split_leaves, export.dot_folded_leaves, export.dot_graph):
+    for draw in (export.dot_lines, export.dot_split_leaves, export.dot_folded_leaves, export.dot_graph, export.dot_encoded):
         text = export.to_text(draw(summary))
         assert text.startswith("digraph summary {\n") and text.endswith("}\n") and "[" in text
     assert "color=blue" in export.to_text(export.dot_triples(summary.graph.all))
@@ -206,6 +206,9 @@ def test_growing_graph_ends_at_the_batch_result(spark, tmp_path):
     always.add(batch, 0)
     always.add(batch, 1)
     assert seen[1:] == [("h", 0), ("h", 1)]
+    anew = Growing(spark, str(tmp_path / "g"), "weak", snapshots=WHEN_CHANGED, on_snapshot=lambda i, s: seen.append(("anew", i)))
+    anew.add(batch, 2)  # started again, it knows what was seen
+    assert seen[3:] == []
     with pytest.raises(ValueError):
         Growing(spark, str(tmp_path), snapshots="true")
 
@@ -241,3 +244,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["read", str(tmp_path / "out" / "loaded_2p1fb" / "tables")]) == 0 and "2ponefb" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["summarize", "x.nt", "-o", "kind=nothing"])
+
+
+def test_command_line_reaches_all_exports(spark, tmp_path):
+    from tessella.__main__ import main
+
+    lines = [" ".join((*t, ".")) for t in graphs.triples(graphs.BACK)]
+    (tmp_path / "g").write_text("\n".join(lines) + "\n")  # a file without a suffix
+    assert main(["load", str(tmp_path / "g"), str(tmp_path / "loaded")]) == 0
+    assert "loadingTime" in "".join(x.read_text() for x in (tmp_path / "loaded" / "loading.csv").glob("part-*"))
+    extra = ["-o", "export_support_statistics=true", "-o", "drawing=encoded", "-o", "step_by_step=always", "-o", "steps=2"]
+    assert main(["summarize", str(tmp_path / "g"), str(tmp_path / "out"), "-o", "kind=weak", *extra]) == 0
+    at = tmp_path / "out" / "g_w"
+    read = lambda name: "".join(x.read_text() for x in (at / name).glob("part-*"))
+    assert "nodeSupport" in read("node_statistics.nt") and "edgeSupport" in read("edge_statistics.nt")
+    assert "summarizingTime" in read("statistics.csv") and " -> " in read("summary.dot")
+    assert " -> " in read("steps/0000.dot") and " -> " in read("steps/0001.dot") and not (at / "steps" / "0002.dot").exists()
+    assert main(["batch", f"{tmp_path / 'g'},{tmp_path / 'nowhere.nt'}", str(tmp_path / "many"), "-k", "typed"]) == 1
+    assert (tmp_path / "many" / "g_t").exists()
+
+
+def test_conflicting_replacements(spark):
+    from tessella.operators.components import conflicts
+
+    told = [(1, 9), (2, 9), (2, 8), (3, 4), (4, 5), (6, 6), (7, 6)]
+    assert rows(conflicts(spark.createDataFrame(told, "node long, to long"))) == {(2,), (3,)}
+
+
+def test_a_hub_is_counted_before_it_is_joined(spark):
+    """A literal that nearly all triples lead to, with more than one property, and a subject of many."""
+    text = "\n".join([f'a{i} p "hub"' for i in range(200)] + [f'a{i} q "hub"' for i in range(0, 200, 2)] + [f"a0 r b{i}" for i in range(150)])
+    g = graph(spark, text)
+    for kind in ("weak", "2ponefb"):
+        summary = summarize(g, kind)
+        rep = {r.node: r.rep for r in summary.rep.collect()}
+        want = {}
+        for s, p, o in graphs.triples(text):
+            want[rep[s], p, rep[o]] = want.get((rep[s], p, rep[o]), 0) + 1
+        assert {(r.s, r.p, r.o): r.cnt for r in summary.edges.collect()} == want and not summary.check()
