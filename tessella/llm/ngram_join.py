@@ -53,9 +53,8 @@ SETS = 1000
 #: Elements and classes that a worker gathers before it hands them on; names of sets it remembers to pass over copies.
 AT_ONCE, CLASSES, REMEMBERED = 1_000_000, 20_000, 200_000
 #: Of each class the first elements of larger groups that mark where a pair has met before. Marks only save finding a
-#: pair twice; without one it is found again and made distinct. The first ``STARS`` of them give the stars, which only
-#: save searching what is linked by then.
-MARKS, STARS = 16, 4
+#: pair twice; without one it is found again and made distinct.
+MARKS = 16
 
 _INT = np.int64
 
@@ -508,16 +507,17 @@ class _Join:
         large = spool(met.filter("kind = 1").select("token", "node").distinct(), n)
         # collected per class are at most the elements of its prefix
         marks = spool(large.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, MARKS).alias("marks")), n)
-        some = marks.select(F.explode(F.slice("marks", 1, STARS)).alias("token"), "node")
-        tried = spool(self.leaves(small).union(self.starred(some)).distinct(), n)
+        # stars of all elements: who finds no link to one group's leader may find one to another's, and needn't be
+        # searched for among all members
+        tried = spool(self.leaves(small).union(self.starred(large)).distinct(), n)
         linked = self.verified(tried)
         first = components(linked)
 
         # Tiles of one group have leaders of their own; one class per group and label stands for these, and is tied to
         # the others' before pairs are sought, so that a group of near copies is one label however many tiles it has.
-        beyond = spool(some.groupBy("token").count().filter(F.col("count") > TILE).select("token"), n)
+        beyond = spool(large.groupBy("token").count().filter(F.col("count") > TILE).select("token"), n)
         for _ in range(0 if beyond.isEmpty() else ROUNDS):
-            heads = some.join(beyond, "token", "left_semi").join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")).agg(F.min("node").alias("node"))
+            heads = large.join(beyond, "token", "left_semi").join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")).agg(F.min("node").alias("node"))
             more = spool(self.starred(heads.select("token", "node")).distinct().join(tried, ["a", "b"], "left_anti"), n)
             if more.isEmpty():
                 break
