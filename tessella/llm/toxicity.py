@@ -3,9 +3,9 @@
 A word's embedding is the sum of two hashed ones, of the word and of its first four letters, so that inflected forms
 of a known word tell something too; filters of several widths slide over them, and each keeps its greatest response in the
 document (max pooling); a logistic layer makes the score. The model sees words only: labels, language, source and ids
-are no inputs. Training takes a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_CLEAN``, ``MAX_CHARS``), to the
-driver; scoring runs over all rows. Thresholds are calibrated per language on labelled rows kept out of training; they
-say what is rejected, and never enter a score.
+are no inputs. Every labelled row counts: all that train are counted for the first embeddings, and each is learned from
+in a shard that a hash of id and text fixes; the model is the shards' mean. Scoring runs over all rows. Thresholds are
+calibrated per language on all labelled rows kept out of training; they say what is rejected, and never enter a score.
 
 For scoring, embedding times filter is tabulated per bucket and position, so a word costs a few rows of a table.
 """
@@ -18,16 +18,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._batches import small_batches
 from tessella.plans.columns import pick
+from tessella.plans.lineage import hold, scratch
 
 WORDS, STEMS, STEM = 1 << 17, 1 << 15, 4
 BUCKETS, DIM, WIDTHS, FILTERS = WORDS + STEMS, 8, (1, 2, 3), 8
-#: The sample: at most so many rows of either label by the order of a hash of the id, so many characters, of which a
-#: half is for either label, and so many of one document (a longer one isn't in the sample).
+#: Rows, and words, of a shard of the training rows; there are as many shards as that takes.
+SHARD, SHARD_WORDS = 6000, 8_000_000
+#: Ids with a label that are broadcast at most; beyond that a shuffled join does it.
+BROADCAST_IDS = 500_000
+#: Parts that counts and embeddings are added up in.
+SLICES = 64
+#: Of ``sample``, which ``fit`` doesn't take: at most so many rows of either label by the order of a hash of the id, so
+#: many characters, of which a half is for either label, and so many of one document (a longer one isn't in it).
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS, MAX_TEXT = 2500, 5000, 40_000_000, 200_000
 #: Windows of words that are held against the filters together, and words whose documents are scored together.
 WINDOWS, AT_ONCE = 200_000, 500_000
@@ -66,6 +74,16 @@ def buckets(text: str | None) -> np.ndarray:
     return np.stack([both >> _SHIFT, both & ((1 << _SHIFT) - 1)], axis=1).astype(np.int32)
 
 
+def _packed(words: np.ndarray) -> bytes:
+    """``buckets`` in four bytes a word."""
+    return ((words[:, 1] - WORDS).astype(np.uint32) * np.uint32(WORDS) + words[:, 0].astype(np.uint32)).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    both = np.frombuffer(raw, np.uint32)
+    return np.stack([both % WORDS, both // WORDS + WORDS], axis=1).astype(np.int32)
+
+
 def together(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(all words with pads before each document and at the end, where documents start): no filter reaches from one
     document into the next, and an empty document still has its pads."""
@@ -129,20 +147,33 @@ class Model:
 Parameters = dict[str, np.ndarray]
 
 
+def greatest(p: Parameters, words: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(places, responses) by width: where each document's filters respond most, and how much. Held are the responses of
+    ``WINDOWS`` windows, however long a document is."""
+    n = len(words) - max(WIDTHS) + 1
+    ends = np.append(starts[1:], n)
+    places = [np.zeros((len(starts), FILTERS), dtype=np.int64) for _ in WIDTHS]
+    best = [np.full((len(starts), FILTERS), -np.inf) for _ in WIDTHS]
+    for a in range(0, n, WINDOWS):
+        b = min(n, a + WINDOWS)
+        first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b)
+        x = p["e"][words[a : b + max(WIDTHS) - 1]].sum(axis=1)
+        for k, w in enumerate(WIDTHS):
+            response = sum(x[o : b - a + o] @ p[f"f{w}"][o] for o in range(w))
+            place = np.stack([s + response[s:e].argmax(axis=0) for s, e in zip(np.maximum(starts[first:last] - a, 0), np.minimum(ends[first:last], b) - a)])
+            found = np.take_along_axis(response, place, axis=0)
+            more = found > best[k][first:last]
+            best[k][first:last] = np.where(more, found, best[k][first:last])
+            places[k][first:last] = np.where(more, place + a, places[k][first:last])
+    return places, best
+
+
 def gradients(p: Parameters, words: np.ndarray, starts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, Parameters, np.ndarray]:
     """(loss, gradients, rows of the embeddings that ``gradients["e"]`` is of) of documents put ``together``: the
     weighted mean logistic loss and the decay of the last layer. Of the embeddings only those move that a greatest
     response came from; the pad's never does."""
-    n = len(words) - max(WIDTHS) + 1
-    ends = np.append(starts[1:], n)
-    x = p["e"][words].sum(axis=1)
-    pooled, places = [], []
-    for w in WIDTHS:
-        response = sum(x[o : n + o] @ p[f"f{w}"][o] for o in range(w))
-        place = np.stack([s + response[s:e].argmax(axis=0) for s, e in zip(starts, ends)])
-        places.append(place)
-        pooled.append(np.take_along_axis(response, place, axis=0) + p[f"b{w}"])
-    h = np.concatenate(pooled, axis=1)
+    places, pooled = greatest(p, words, starts)
+    h = np.concatenate([x + p[f"b{w}"] for w, x in zip(WIDTHS, pooled)], axis=1)
     r = np.maximum(h, 0)
     y = 1 / (1 + np.exp(-np.clip(r @ p["out"] + p["ob"][0], -30, 30)))
     loss = -(weight * (labels * np.log(y) + (1 - labels) * np.log(1 - y))).mean() + DECAY / 2 * (p["out"] ** 2).sum()
@@ -170,11 +201,16 @@ def gradients(p: Parameters, words: np.ndarray, starts: np.ndarray, labels: np.n
 def beginning(docs: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> Parameters:
     """Embeddings start with the log odds of a bucket between the labels in their first component, so that the greatest
     responses, which alone get gradients, are telling from the start."""
-    embed = rng.normal(0, 0.1, (BUCKETS + 1, DIM))
     seen = np.zeros((2, BUCKETS + 1))
     for d, y in zip(docs, labels):
         seen[int(y), np.unique(d)] += 1
-    n1, n0 = max(1, int((labels > 0).sum())), max(1, int((labels == 0).sum()))
+    return first_weights(seen, int((labels == 0).sum()), int((labels > 0).sum()), rng)
+
+
+def first_weights(seen: np.ndarray, n0: int, n1: int, rng: np.random.Generator) -> Parameters:
+    """``beginning`` by the number of clean and toxic documents that each bucket is in, and that there are."""
+    embed = rng.normal(0, 0.1, (BUCKETS + 1, DIM))
+    n0, n1 = max(1, n0), max(1, n1)
     odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
     shown = seen.sum(axis=0)
     embed[:, 0] = np.clip(odds, -3, 3) / 3 * shown / (shown + 10)
@@ -191,9 +227,15 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     """Adam on the logistic loss, in which both labels weigh the same."""
     rng = np.random.default_rng(seed)
     p = beginning(docs, labels, rng)
-    first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     n1, n0 = max(1, int((labels > 0).sum())), max(1, int((labels == 0).sum()))
-    weight = np.where(labels > 0, n0 / n1, 1.0)
+    learn(p, docs, labels, n0 / n1, rng, epochs)
+    return _model(p)
+
+
+def learn(p: Parameters, docs: list[np.ndarray], labels: np.ndarray, toxic_weight: float, rng: np.random.Generator, epochs: int = EPOCHS) -> None:
+    """Move ``p`` by epochs of Adam over all of ``docs``."""
+    first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+    weight = np.where(labels > 0, toxic_weight, 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
@@ -205,6 +247,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
                 first[k][part] = 0.9 * first[k][part] + 0.1 * g[k]
                 second[k][part] = 0.999 * second[k][part] + 0.001 * g[k] ** 2
                 v[part] -= RATE * (first[k][part] / (1 - 0.9**step)) / (np.sqrt(second[k][part] / (1 - 0.999**step)) + 1e-8)
+
+def _model(p: Parameters) -> Model:
     return Model(p["e"].astype(np.float32), {w: p[f"f{w}"] for w in WIDTHS}, {w: p[f"b{w}"].astype(np.float32) for w in WIDTHS}, p["out"].astype(np.float32), float(p["ob"][0]))
 
 
@@ -226,18 +270,35 @@ def calibrate(model: Model, docs: list[np.ndarray], labels: np.ndarray, langs: l
         model.thresholds[lang] = least(scores[of]) if max_false * of.sum() >= 1 else model.default_threshold
 
 
+def _told(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    told = pick(labels, id_col, label_col, **{id_col: "long", label_col: "int"}).toDF("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    return told.filter(fold("doc_id") != HELD_OUT)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return pick(docs, id_col, text_col, lang_col, **{id_col: "long", text_col: "string", lang_col: "string"}).toDF("doc_id", "text", "lang")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
+    """Every row with a label (doc_id, toxic, text, lang), but for the held-out ones. Labels that are null or neither 0
+    nor 1 don't count; of an id with both labels, 1 counts."""
+    told = _told(labels, id_col, label_col).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    told = F.broadcast(told) if told.count() <= BROADCAST_IDS else told
+    return _rows(docs, id_col, text_col, lang_col).filter(fold("doc_id") != HELD_OUT).join(told, "doc_id").select("doc_id", "toxic", "text", "lang")
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
-    """The bounded sample (doc_id, toxic, text, lang), without held-out rows.
+    """A bounded sample (doc_id, toxic, text, lang) of ``labelled``, for a look at the rows or a model of one machine;
+    ``fit`` takes all of them.
 
-    Labels that are null or neither 0 nor 1 don't count; of an id with both labels, 1 counts. Documents of more than
+    Documents of more than
     ``MAX_TEXT`` characters are left out; the others of a label come by a hash of the id until half of ``MAX_CHARS`` are
     full.
     """
-    told = pick(labels, id_col, label_col, **{id_col: "long", label_col: "int"}).toDF("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    told = told.filter(fold("doc_id") != HELD_OUT)
+    told = _told(labels, id_col, label_col)
     some = [told.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(m) for y, m in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = some[0].unionByName(some[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = pick(docs, id_col, text_col, lang_col, **{id_col: "long", text_col: "string", lang_col: "string"}).toDF("doc_id", "text", "lang")
+    rows = _rows(docs, id_col, text_col, lang_col)
     # at most MAX_TOXIC + MAX_CLEAN ids are broadcast, and their lengths added up
     lengths = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("_chars"))
     up_to = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -250,23 +311,168 @@ def fold(column: str):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
+def coded(rows: DataFrame) -> DataFrame:
+    """Of each row of ``labelled``: key (64 bits of id and text), doc_id, toxic, lang, checks (it sets thresholds), n and
+    words (their buckets, four bytes a word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [buckets(text) for text in batch.column(5).to_pylist()]
+            n, raw = pa.array([len(w) for w in words], pa.int64()), pa.array([_packed(w) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], n, raw], names=["key", "doc_id", "toxic", "lang", "checks", "n", "words"])
+
+    asked = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "toxic", "lang", (fold("doc_id") == CALIBRATION).alias("checks"), "text")
+    return asked.mapInArrow(run, "key long, doc_id long, toxic int, lang string, checks boolean, n long, words binary")
+
+
+def _edges() -> np.ndarray:
+    return np.linspace(0, BUCKETS + 1, SLICES + 1).astype(np.int64)
+
+
+def _sums(parts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, sums) of rows (slice, part, weight, at, x): for each bucket, the weights of the parts that have it (``at``)
+    and the sum of their vectors ``x`` of ``width`` times their weight, added in the order of the parts."""
+    edges = _edges()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for k, weight, at, x in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                size = int(edges[k + 1] - edges[k])
+                have = found.setdefault(k, [np.zeros(size), np.zeros((size, width))])
+                at = np.frombuffer(at, np.int32)
+                have[0][at] += weight
+                have[1][at] += np.frombuffer(x, np.float32).reshape(-1, width).astype(np.float64) * weight
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v[0].tobytes() for v in found.values()], pa.binary()), pa.array([v[1].tobytes() for v in found.values()], pa.binary())], names=["slice", "weights", "sums"])
+
+    weights, sums = np.zeros(BUCKETS + 1), np.zeros((BUCKETS + 1, width))
+    dealt = parts.repartition("slice").sortWithinPartitions("slice", "part")
+    for r in dealt.mapInArrow(add, "slice int, weights binary, sums binary").toLocalIterator():
+        own = slice(edges[r["slice"]], edges[r["slice"] + 1])
+        weights[own], sums[own] = np.frombuffer(r["weights"]), np.frombuffer(r["sums"]).reshape(-1, width)
+    return weights, sums
+
+
+_PART = "slice int, part int, weight double, at binary, x binary"
+
+
+def _parts(part: int, weight: float, at: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Vectors ``x`` of the buckets ``at`` (sorted), by slice."""
+    edges = _edges()
+    cuts = np.searchsorted(at, edges)
+    have = [k for k in range(SLICES) if cuts[k] < cuts[k + 1]]
+    own = [slice(cuts[k], cuts[k + 1]) for k in have]
+    columns = [pa.array(have, pa.int32()), pa.array([part] * len(have), pa.int32()), pa.array([weight] * len(have), pa.float64())]
+    columns += [pa.array([(at[i] - edges[k]).astype(np.int32).tobytes() for k, i in zip(have, own)], pa.binary()), pa.array([x[i].astype(np.float32).tobytes() for i in own], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "part", "weight", "at", "x"])
+
+
+def seen_in(rows: DataFrame) -> np.ndarray:
+    """In how many clean and toxic rows of ``coded`` each bucket is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((BUCKETS + 1, 2))
+        for batch in batches:
+            for toxic, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                seen[np.unique(_unpacked(raw)), toxic] += 1
+            if seen.max(initial=0) >= 1 << 23:  # sent as 32-bit floats, which are exact so far
+                at = np.flatnonzero(seen.any(axis=1))
+                yield _parts(0, 1.0, at, seen[at])
+                seen[:] = 0
+        at = np.flatnonzero(seen.any(axis=1))
+        yield _parts(0, 1.0, at, seen[at])
+
+    return _sums(rows.select("toxic", "words").mapInArrow(run, _PART), 2)[1].T
+
+
+def trained(rows: DataFrame, seed: int = SEED) -> Model | None:
+    """The model of all of ``rows`` (from ``coded``); none if they don't have both labels.
+
+    Each shard goes from the same first weights through epochs over its rows. An embedding is the mean over the shards
+    that moved it, other weights that over all, weighted by the shards' rows.
+    """
+    told = {r["toxic"]: r for r in rows.groupBy("toxic").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).collect()}
+    if len(told) < 2:
+        return None
+    n0, n1 = told[0]["rows"], told[1]["rows"]
+    shards = max(-(-(n0 + n1) // SHARD), -(-sum(r["words"] for r in told.values()) // SHARD_WORDS))
+    first = first_weights(seen_in(rows), n0, n1, np.random.default_rng(seed))
+    first["e"] = first["e"].astype(np.float32).astype(np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast(first | {"e": first["e"].astype(np.float32)})
+    rest = [k for k in first if k != "e"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, docs, labels = None, [], []
+
+        def learned() -> Iterator[pa.RecordBatch]:
+            if not docs:
+                return
+            p = {k: v.astype(np.float64) for k, v in shared.value.items()}
+            learn(p, docs, np.array(labels, dtype=float), n0 / n1, np.random.default_rng([seed, shard]))
+            at = np.flatnonzero((p["e"].astype(np.float32) != shared.value["e"]).any(axis=1))
+            yield _parts(shard, float(len(docs)), at, p["e"][at])
+            others = np.concatenate([p[k].ravel() for k in rest])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([shard], pa.int32()), pa.array([float(len(docs))]), pa.array([None], pa.binary()), pa.array([others.tobytes()], pa.binary())], names=["slice", "part", "weight", "at", "x"])
+
+        for batch in batches:
+            for at, toxic, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != shard:
+                    yield from learned()
+                    shard, docs, labels = at, [], []
+                docs.append(_unpacked(raw))
+                labels.append(toxic)
+        yield from learned()
+
+    dealt = rows.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), "toxic", "words", "key", "doc_id")
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "doc_id").select("shard", "toxic", "words")
+    parts = hold(dealt.mapInArrow(run, _PART))
+    weights, sums = _sums(parts.filter("slice >= 0"), DIM)
+    p = {"e": np.where(weights[:, None] > 0, sums / np.maximum(weights, 1)[:, None], first["e"])}
+    total, mean = 0.0, np.zeros(sum(first[k].size for k in rest))
+    for r in parts.filter("slice < 0").select("weight", "x").orderBy("part").toLocalIterator():
+        total, mean = total + r["weight"], mean + np.frombuffer(r["x"]) * r["weight"]
+    cuts = np.cumsum([first[k].size for k in rest])[:-1]
+    p |= {k: x.reshape(first[k].shape) for k, x in zip(rest, np.split(mean / total, cuts))}
+    return _model(p)
+
+
+def calibrate_by(model: Model, rows: DataFrame, max_false: float = MAX_FALSE) -> None:
+    """``calibrate`` on all clean ones of ``rows`` (from ``coded``)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.score([_unpacked(raw) for raw in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["lang", "score"])
+
+    scored = hold(rows.filter("toxic = 0").select("lang", "words").mapInArrow(run, "lang string, score double"))
+    # of each group, and of all (_all), the score after the highest ones that may be rejected, where it is 0.5 or more
+    groups = scored.select("score", F.explode(F.array(F.struct(F.lit(True).alias("_all"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("_all"), "lang"))).alias("_g")).select("_g._all", "_g.lang", "score")
+    groups = groups.filter("_all or lang is not null")
+    sizes = groups.groupBy("_all", "lang").count().filter(F.col("_all") | (F.col("count") * F.lit(max_false) >= 1)).select("_all", F.coalesce("lang", F.lit("")).alias("lang"), F.floor(F.col("count") * F.lit(max_false)).alias("allowed"))
+    sizes = {(r["_all"], r["lang"]): r["allowed"] for r in sizes.collect()}
+    if not sizes:
+        return
+    allowed = rows.sparkSession.createDataFrame([(*k, v) for k, v in sizes.items()], "_all boolean, lang string, allowed long")
+    high = groups.filter("score >= 0.5").withColumn("lang", F.coalesce("lang", F.lit(""))).groupBy("_all", "lang", "score").count()
+    up_to = Window.partitionBy("_all", "lang").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    beyond = high.withColumn("_rank", F.sum("count").over(up_to)).join(F.broadcast(allowed), ["_all", "lang"]).filter("_rank > allowed")
+    found = {(r["_all"], r["lang"]): float(np.nextafter(r["score"], 2)) for r in beyond.groupBy("_all", "lang").agg(F.max("score").alias("score")).collect()}
+    model.default_threshold = found.get((True, ""), 0.5)
+    model.thresholds = {lang: found.get((False, lang), 0.5) for every, lang in sizes if not every}
+
+
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    """Train and calibrate. Without labels of both kinds the model says 0.5 or less of everything."""
-    found = [(r["doc_id"], r["toxic"], r["lang"], buckets(r["text"])) for r in sample(docs, labels, **columns).toLocalIterator()]
-    _words.clear()
-    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], len(r[3]), r[3].tobytes()))  # whatever the order rows came in
-    folds = np.array([zlib.crc32(str(r[0]).encode()) % FOLDS for r in found], dtype=int)
-    words, y, langs = [r[3] for r in found], np.array([r[1] for r in found], dtype=float), [r[2] for r in found]
-    learns, checks = np.flatnonzero(folds != CALIBRATION), np.flatnonzero(folds == CALIBRATION)
-    if len(set(y[learns])) < 2:
-        model = train([np.zeros((0, 2), dtype=np.int32)], np.zeros(1), epochs=0)
-        model.out[:] = 0
+    """Train and calibrate, on every labelled row. Without labels of both kinds the model says 0.5 or less of everything."""
+    with scratch():
+        rows = hold(coded(labelled(docs, labels, **columns)))
+        model = trained(rows.filter("not checks"))
+        if model is None:
+            model = train([np.zeros((0, 2), dtype=np.int32)], np.zeros(1), epochs=0)
+            model.out[:] = 0
+            return model
+        calibrate_by(model, rows.filter("checks"))
         return model
-    model = train([words[i] for i in learns], y[learns])
-    if len(checks):
-        calibrate(model, [words[i] for i in checks], y[checks], [langs[i] for i in checks])
-        model.tables = {}  # made again where rows are scored, and not sent there
-    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -297,8 +503,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
     text, lang = names.index(text_col), names.index(lang_col)
 
     def run(batches):
-        import pyarrow as pa
-
         model = shared.value
         for batch in batches:
             scores = model.score_texts(batch.column(text).to_pylist())

@@ -135,6 +135,65 @@ def test_one_long_text_leaves_the_sample_whole(labelled, monkeypatch):
     assert len(some) == 2 and sum(r["count"] for r in some) < want
 
 
+def test_every_labelled_row_is_learned_from(labelled, monkeypatch):
+    """No bound on rows or characters changes the model, and a long text is learned from like any other."""
+    docs, labels = labelled
+    want = toxicity.fit(docs, labels)
+    for bound, most in (("MAX_TOXIC", 20), ("MAX_CLEAN", 30), ("MAX_CHARS", 5000), ("MAX_TEXT", 100)):
+        monkeypatch.setattr(toxicity, bound, most)
+    monkeypatch.setattr(toxicity, "BROADCAST_IDS", 0)
+    got = toxicity.fit(docs.repartition(5), labels)
+    assert np.array_equal(got.embed, want.embed) and np.array_equal(got.out, want.out)
+    assert got.thresholds == want.thresholds and got.default_threshold == want.default_threshold
+    i = next(i for i in range(20_000, 20_100) if zlib.crc32(str(i).encode()) % 5 > 1)
+    long = docs.sparkSession.createDataFrame([(i, "plainly " + "word " * 50_000, "en", "s", 1)], SCHEMA)
+    more = docs.sparkSession.createDataFrame([(i, 0, 1)], labels.schema)
+    place = toxicity.buckets("plainly")[0, 0]
+    moved = toxicity.fit(docs.union(long), labels.union(more)).embed[place] - want.embed[place]
+    assert moved[0] > 0
+
+
+def test_shards_are_learned_from_together(labelled, monkeypatch):
+    docs, labels = labelled
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    a, b = (toxicity.fit(d, labels) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.embed, b.embed) and np.array_equal(a.out, b.out) and a.thresholds == b.thresholds
+    held = [r for r in toxicity.score(docs, a).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_counts_and_thresholds_are_those_of_all_rows(labelled):
+    docs, labels = labelled
+    rows = toxicity.coded(toxicity.labelled(docs, labels))
+    found = rows.collect()
+    words, y = [toxicity._unpacked(r.words) for r in found], np.array([r.toxic for r in found])
+    want = np.zeros((2, toxicity.BUCKETS + 1))
+    for w, toxic in zip(words, y):
+        want[toxic, np.unique(w)] += 1
+    assert np.array_equal(toxicity.seen_in(rows), want)
+    model = toxicity.fit(docs, labels)
+    model.out_bias += 1.0  # so that clean rows are above 0.5
+    for share in (0.0, 0.01, 0.2):
+        toxicity.calibrate(model, words, y, [r.lang for r in found], share)
+        plain, every = dict(model.thresholds), model.default_threshold
+        model.tables = {}
+        model.thresholds = {}
+        toxicity.calibrate_by(model, rows, share)
+        assert model.default_threshold == pytest.approx(every, abs=1e-6)
+        assert {x: pytest.approx(model.thresholds.get(x, model.default_threshold), abs=1e-6) for x in plain} == plain
+
+
+def test_places_of_long_texts_are_found_in_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    docs, p = small_model(rng)
+    want = toxicity.greatest(p, *toxicity.together(docs))
+    for windows in (1, 2, 37):
+        monkeypatch.setattr(toxicity, "WINDOWS", windows)
+        for a, b in zip(want, toxicity.greatest(p, *toxicity.together(docs))):
+            assert all(np.array_equal(x, y) if x.dtype == np.int64 else x == pytest.approx(y) for x, y in zip(a, b))
+
+
 def test_thresholds_do_not_hang_on_one_row(labelled):
     class Told:
         thresholds: dict = {}
