@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import count_rtree as tree
@@ -462,20 +462,42 @@ class _Join:
     def points(self) -> DataFrame:
         return self.classes.select("node", "n", "point")
 
-    def tiled(self, members: DataFrame, about: DataFrame) -> DataFrame:
-        """``members`` (token, node, ...) of groups of two or more dealt to tiles and pairs of tiles, with what ``about``
-        has of their nodes, sorted for ``_runs``."""
+    def sized(self, members: DataFrame) -> DataFrame:
+        """``members`` (token, node, ...) of groups of two or more, with the number of tiles that their group takes."""
         sizes = members.groupBy("token").agg(F.count("*").alias("_members")).select(F.col("token").cast("string").alias("_token"), "_members")
         keyed = members.withColumn("_token", F.col("token").cast("string"))
         sized = lookup(keyed, sizes, "_token", "_members", members.count(), F.col("node")).filter("_members > 1")
-        tiles = F.ceil(F.col("_members") / TILE).cast("long")
-        dealt = sized.withColumn("side", F.pmod(F.xxhash64("node"), tiles)).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        dealt = dealt.withColumn("i", F.least("side", "_with")).withColumn("j", F.greatest("side", "_with")).drop("_token", "_members", "_with")
+        return sized.withColumn("_tiles", F.ceil(F.col("_members") / TILE).cast("long")).drop("_token", "_members")
+
+    def gathered(self, dealt: DataFrame, about: DataFrame) -> DataFrame:
+        """Dealt members with what ``about`` has of their nodes, sorted for ``_runs``."""
         return dealt.join(about, "node").repartition(*_TILE).sortWithinPartitions(*_TILE)
 
     def starred(self, members: DataFrame) -> DataFrame:
         """Candidate pairs (a, b) that tie the members (token, node) of each group and tile to its leaders."""
-        return self.tiled(members, self.points()).filter("i = j").select(*_TILE, "node", "n", "point").mapInArrow(_stars(self.rule), "a long, b long")
+        dealt = self.sized(members).withColumn("i", F.pmod(F.xxhash64("node"), F.col("_tiles"))).withColumn("j", F.col("i"))
+        return self.gathered(dealt.drop("_tiles"), self.points()).select(*_TILE, "node", "n", "point").mapInArrow(_stars(self.rule), "a long, b long")
+
+    def paired(self, members: DataFrame) -> DataFrame:
+        """``members`` (token, node, label) of groups with more than one label dealt to tiles (i, j), so that any two of
+        different labels share one. A group beyond a tile has the label that most have (side 0, tiles i) apart from the
+        others (side 1, tiles j), and these once more among themselves (tiles below 0): a member of that label has a row
+        for each tile of the others, and not for each tile of the group."""
+        by = members.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label")).alias("_top"), F.sum("count").alias("_all"))
+        mixed = by.filter("_all > _top.count").select("token", F.col("_top.label").alias("_main"), F.ceil(F.col("_top.count") / TILE).cast("long").alias("_mains"), F.ceil((F.col("_all") - F.col("_top.count")) / TILE).cast("long").alias("_others"), (F.col("_all") <= TILE).alias("_one"))
+
+        def spread(n: str) -> Column:
+            return F.pmod(F.xxhash64("node"), F.col(n))
+
+        def places(n: str, at: Callable) -> Column:
+            return F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda k: F.struct(*[x.cast("long").alias(c) for x, c in zip(at(k), ("i", "j", "side"))]))
+
+        mine, zero = spread("_others"), F.lit(0)
+        main = places("_others", lambda k: (spread("_mains"), k, zero))
+        other = F.concat(places("_mains", lambda k: (k, mine, F.lit(1))), places("_others", lambda k: (-1 - F.least(k, mine), F.greatest(k, mine), mine)))
+        one = F.array(F.struct(*[zero.cast("long").alias(c) for c in ("i", "j", "side")]))
+        at = F.explode(F.when(F.col("_one"), one).when(F.col("label") == F.col("_main"), main).otherwise(other))
+        return members.join(mixed, "token").select("token", "node", "label", at.alias("_at")).select("token", "node", "label", "_at.i", "_at.j", "_at.side")
 
     def leaves(self, groups: DataFrame) -> DataFrame:
         """Candidate pairs (a, b) of small groups (members)."""
@@ -516,18 +538,19 @@ class _Join:
         # Tiles of one group have leaders of their own; one class per group and label stands for these, and is tied to
         # the others' before pairs are sought, so that a group of near copies is one label however many tiles it has.
         beyond = spool(large.groupBy("token").count().filter(F.col("count") > TILE).select("token"), n)
+        # later rounds go on from the heads of the one before: labels only merge
+        heads = large.join(beyond, "token", "left_semi")
         for _ in range(0 if beyond.isEmpty() else ROUNDS):
-            heads = large.join(beyond, "token", "left_semi").join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("label")).agg(F.min("node").alias("node"))
-            more = spool(self.starred(heads.select("token", "node")).distinct().join(tried, ["a", "b"], "left_anti"), n)
+            heads = heads.join(first, "node", "left").groupBy("token", F.coalesce("label", "node").alias("_label")).agg(F.min("node").alias("node"))
+            heads = spool(heads.select("token", "node"), n)
+            more = spool(self.starred(heads).distinct().join(tried, ["a", "b"], "left_anti"), n)
             if more.isEmpty():
                 break
             tried, linked = tried.union(more), linked.union(self.verified(more))
             first = components(linked)
 
-        members = large.join(first, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-        mixed = members.groupBy("token").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least < _most").select("token")
-        members = spool(members.join(mixed, "token", "left_semi"), n)
-        rest = self.tiled(members, self.points().join(marks, "node")).select(*_TILE, "side", "node", "n", "point", "label", "marks")
+        members = spool(large.join(first, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")), n)
+        rest = self.gathered(self.paired(members), self.points().join(marks, "node")).select(*_TILE, "side", "node", "n", "point", "label", "marks")
         rest = rest.mapInArrow(_across(rule), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         rest = spool(rest, n)
         if rest.isEmpty():

@@ -158,3 +158,23 @@ def test_tree_finds_what_a_scan_finds():
     for i in range(0, 700, 35):
         found = set(index.at[index.search(n[i], fine[i], tree.coarse(fine[i]))])
         assert found == {j for j in range(700) if rule.may_link(n[j], fine[j], n[i], fine[i]) and rule.may_link(n[j], tree.coarse(fine[j]), n[i], tree.coarse(fine[i]))}
+
+
+def test_a_large_group_is_not_dealt_by_the_square_of_its_size(spark, monkeypatch):
+    """Rows that one group of near copies makes, with few members of other labels, grow with the group."""
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    join = object.__new__(ngram_join._Join)
+    made = []
+    for size in (40, 160):
+        rows = [(7, i, 1 if i < size - 3 else i) for i in range(size)] + [(8, 1000 + i, 5) for i in range(9)] + [(9, 1, 1), (9, size - 1, size - 1)]
+        dealt = join.paired(spark.createDataFrame(rows, "token long, node long, label long")).collect()
+        made.append(len(dealt))
+        together = {}
+        for r in dealt:
+            together.setdefault((r.token, r.i, r.j), []).append(r)
+        met = {(t, *sorted((x.node, y.node))) for (t, _, _), m in together.items() for x in m for y in m if x.label != y.label and (len({z.side for z in m}) == 1 or x.side != y.side)}
+        label = {(t, n): x for t, n, x in rows}
+        assert met == {(t, a, b) for t, a in label for u, b in label if t == u and a < b and label[t, a] != label[t, b]}
+        members = join.sized(spark.createDataFrame([(7, i) for i in range(size)], "token long, node long"))
+        assert members.count() == size
+    assert made[1] <= 4.5 * made[0]
