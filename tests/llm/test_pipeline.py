@@ -62,3 +62,14 @@ def test_each_stage_on_its_own_input(spark, tmp_path, corpus):
 def test_empty_documents(spark, tmp_path, corpus):
     write(spark, tmp_path, corpus[:0])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_toxicity_stage_learns_from_every_labelled_row(spark, corpus, tmp_path, monkeypatch):
+    toxic = [(1000 + i, f"scum {t} scum", "en", "s1", 9) for i, (_, t, *_) in enumerate(corpus[:40])]
+    write(spark, tmp_path, corpus + toxic)
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for most in (5000, 1):
+        monkeypatch.setattr(corpus_pipeline.toxicity, "MAX_TOXIC", most)
+        monkeypatch.setattr(corpus_pipeline.toxicity, "MAX_CLEAN", most)
+        kept.append(sorted(str(r.doc_id) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()))
+    assert kept[0] == kept[1] and len(kept[0]) < docs.count()
