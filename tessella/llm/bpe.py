@@ -18,7 +18,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm._batches import small_batches
+from tessella.llm._batches import lean, remember, small_batches
 from tessella.plans.columns import pick
 
 LONG = 200
@@ -131,6 +131,7 @@ class Codec(dict):
 
 
 _codecs: dict[str, Codec] = {}
+remember(__name__, _codecs)
 
 
 def codec(file_text: str) -> Codec:
@@ -158,6 +159,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(spark, path))
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = codec(shared.value)
         names = {i: str(i) for i in bpe.bytes}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import count_rtree as tree
-from tessella.llm._batches import small_batches
+from tessella.llm._batches import lean, remember, small_batches
 from tessella.llm.count_rtree import Rule
 from tessella.operators.components import components
 from tessella.plans.columns import pick
@@ -57,6 +57,7 @@ AT_ONCE, CLASSES, REMEMBERED = 1_000_000, 20_000, 200_000
 MARKS = 16
 
 _INT = np.int64
+remember(__name__, tree._words)
 
 
 def _column(values, kind=None) -> pa.Array:
@@ -110,6 +111,7 @@ def _scan(rule: Rule, seed: int, buckets: int) -> Callable:
     of rows here and the first address (kind 1); counted elements, sorted, by range of their lower halves (kind 2)."""
     edges = np.array([-(-(k << 32) // buckets) for k in range(buckets + 1)], dtype=np.uint64)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[int, list] = {}
         waiting, size, limit = [], 0, rule.counted()
@@ -161,6 +163,7 @@ def _count(common: int) -> Callable:
     """From counted elements (bucket, tokens), sorted by bucket: those of more than ``common`` sets, by the logarithm of
     how many (level)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ("bucket",)):
             t = np.sort(np.concatenate([_unpacked(x) for x in table.column("tokens").to_pylist()]))
@@ -197,6 +200,7 @@ def _post(rule: Rule, seed: int, frequent, hot: int) -> Callable:
     """From (doc_id, text_key, text): (token, node, tag) for every first element of a set. The tag is the set's size and
     a salt: from 1 on for elements that may be in very many sets, whose rows so don't come together in one task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         known = frequent.value
@@ -228,6 +232,7 @@ def _meet(rule: Rule, most: int) -> Callable:
     """From rows sorted by token and node: the members of small groups that have another of a size that allows a link
     (kind 0), and rows of larger groups and of salted elements (kind 1)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, _INT) for _ in range(3)]  # the last group so far, as more of it may follow
         large = None  # the token of a group that is known to be large
@@ -314,6 +319,7 @@ def _leaves(rule: Rule) -> Callable:
     """From rows of small groups sorted by token: the pairs of each that the bounds allow; a group may go on from one
     batch into the next."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
@@ -350,6 +356,7 @@ _TILE = ("token", "i", "j")
 
 
 def _stars(rule: Rule) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, _TILE):
             node = table.column("node").to_numpy()
@@ -362,6 +369,7 @@ def _stars(rule: Rule) -> Callable:
 def _across(rule: Rule) -> Callable:
     """Pairs of different labels, each at the first element that marks both."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, _TILE):
             node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
@@ -383,6 +391,7 @@ def _across(rule: Rule) -> Callable:
 def _fetch(rule: Rule, seed: int, whole: bool) -> Callable:
     """From (node, text): the set of each node, in whole hashes or in halves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -406,6 +415,7 @@ def _verify(rule: Rule, whole: bool) -> Callable:
     """The linked ones of pairs with sets; sure is false where halves don't tell."""
     kind = np.uint64 if whole else np.uint32
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(np.frombuffer(x, kind), np.frombuffer(y, kind)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]

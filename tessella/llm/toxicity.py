@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._batches import small_batches
+from tessella.llm._batches import lean, remember, small_batches
 from tessella.plans.columns import pick
 from tessella.plans.lineage import hold, scratch
 
@@ -65,6 +65,7 @@ class Words(dict):
 
 
 _words = Words()
+remember(__name__, _words)
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -315,6 +316,7 @@ def coded(rows: DataFrame) -> DataFrame:
     """Of each row of ``labelled``: key (64 bits of id and text), doc_id, toxic, lang, checks (it sets thresholds), n and
     words (their buckets, four bytes a word)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [buckets(text) for text in batch.column(5).to_pylist()]
@@ -334,6 +336,7 @@ def _sums(parts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     and the sum of their vectors ``x`` of ``width`` times their weight, added in the order of the parts."""
     edges = _edges()
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for batch in batches:
@@ -370,6 +373,7 @@ def _parts(part: int, weight: float, at: np.ndarray, x: np.ndarray) -> pa.Record
 def seen_in(rows: DataFrame) -> np.ndarray:
     """In how many clean and toxic rows of ``coded`` each bucket is."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((BUCKETS + 1, 2))
         for batch in batches:
@@ -401,6 +405,7 @@ def trained(rows: DataFrame, seed: int = SEED) -> Model | None:
     shared = rows.sparkSession.sparkContext.broadcast(first | {"e": first["e"].astype(np.float32)})
     rest = [k for k in first if k != "e"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, docs, labels = None, [], []
 
@@ -440,6 +445,7 @@ def calibrate_by(model: Model, rows: DataFrame, max_false: float = MAX_FALSE) ->
     """``calibrate`` on all clean ones of ``rows`` (from ``coded``)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = shared.value.score([_unpacked(raw) for raw in batch.column(1).to_pylist()])
@@ -453,7 +459,9 @@ def calibrate_by(model: Model, rows: DataFrame, max_false: float = MAX_FALSE) ->
     sizes = {(r["_all"], r["lang"]): r["allowed"] for r in sizes.collect()}
     if not sizes:
         return
-    allowed = rows.sparkSession.createDataFrame([(*k, v) for k, v in sizes.items()], "_all boolean, lang string, allowed long")
+    # from an Arrow table: a list of rows would start Python workers of another kind, which then stay
+    columns = [pa.array([k[0] for k in sizes], pa.bool_()), pa.array([k[1] for k in sizes], pa.string()), pa.array(list(sizes.values()), pa.int64())]
+    allowed = rows.sparkSession.createDataFrame(pa.table(columns, names=["_all", "lang", "allowed"]))
     high = groups.filter("score >= 0.5").withColumn("lang", F.coalesce("lang", F.lit(""))).groupBy("_all", "lang", "score").count()
     up_to = Window.partitionBy("_all", "lang").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     beyond = high.withColumn("_rank", F.sum("count").over(up_to)).join(F.broadcast(allowed), ["_all", "lang"]).filter("_rank > allowed")
@@ -485,6 +493,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = pick(docs, id_col, text_col, lang_col, **{id_col: "long", text_col: "string", lang_col: "string"}).toDF("doc_id", "_text", "_lang")
     rows = rows.select("doc_id", "_text", "_lang", (fold("doc_id") == HELD_OUT).alias("held_out"))
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
@@ -502,6 +511,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
     names = docs.columns
     text, lang = names.index(text_col), names.index(lang_col)
 
+    @lean
     def run(batches):
         model = shared.value
         for batch in batches:

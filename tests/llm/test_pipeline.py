@@ -4,7 +4,8 @@ import hashlib
 import re
 
 import corpus_pipeline
-from tessella.llm import mixing
+import pyarrow as pa
+from tessella.llm import count_rtree, mixing, ngram_join, toxicity
 from tessella.llm.count_rtree import Rule
 from test_ngram_join import brute
 
@@ -73,3 +74,25 @@ def test_the_toxicity_stage_learns_from_every_labelled_row(spark, corpus, tmp_pa
         monkeypatch.setattr(corpus_pipeline.toxicity, "MAX_CLEAN", most)
         kept.append(sorted(str(r.doc_id) for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()))
     assert kept[0] == kept[1] and len(kept[0]) < docs.count()
+
+
+def test_the_toxicity_stage_starts_no_python_workers_of_another_kind(spark, corpus, tmp_path, monkeypatch):
+    toxic = [(1000 + i, f"scum {t} scum", "en", "s1", 9) for i, (_, t, *_) in enumerate(corpus[:40])]
+    write(spark, tmp_path, corpus + toxic)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def refused(*_):
+        raise AssertionError("rows of a list go through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() < docs.count()
+
+
+def test_a_worker_remembers_the_words_of_one_operator():
+    rows = [pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["some words of a text"])], names=["doc_id", "text_key", "_text"])]
+    toxicity.buckets("some words of a text")
+    assert toxicity._words
+    assert sum(b.num_rows for b in ngram_join._scan(Rule(5, 80), 0, 16)(iter(rows)))
+    assert not toxicity._words and count_rtree._words
+    list(ngram_join._fetch(Rule(5, 80), 0, True)(iter([])))
+    assert count_rtree._words  # from task to task of one operator they stay
