@@ -48,8 +48,11 @@ COUNTED, REMEMBERED = 200_000, 100_000
 KNOWN, UNSEEN = 300_000, 0.5
 #: Tokens of a shard: at least so many, and so many for each weight.
 SHARD, A_WEIGHT = 2_000_000, 8
-#: Tokens that are scored together.
-AT_ONCE = 500_000
+#: Tokens that are scored together; so many are put in order of their classes at once, and so many go through the
+#: softmaxes at once, as many as a core's cache has room for.
+AT_ONCE, SORTED, BLOCK = 500_000, 32768, 512
+#: Logits up to so much need no greatest one taken off before they are exponentiated, as none of the sums can overflow.
+LOW = 40
 
 #: The last row of the embeddings, whatever their number.
 PAD = -1
@@ -95,9 +98,9 @@ class Coder(dict):
         super().__init__({w: i for i, w in enumerate([*ranked, *known])})
         vocabulary = Vocabulary(ranked)
         self.first, self.others, self.unknown = vocabulary.first, vocabulary.others, []
-        # with fewer words than the least vocabulary has, some ids stand for none
-        self.ids = np.concatenate([np.arange(len(ranked)), np.array([self.bucket(w) for w in known], dtype=np.int64)])
-        self.logs = np.concatenate([np.zeros(len(ranked)), np.log(np.array(counts, dtype=float))])
+        # with fewer words than the least vocabulary has, some ids stand for none; the last place is that of unknown words
+        ids = np.concatenate([np.arange(len(ranked)), np.array([self.bucket(w) for w in known], dtype=np.int64), [0]])
+        self.ids, self.logs = ids.astype(np.uint16), np.concatenate([np.zeros(len(ranked)), np.log(np.array(counts, dtype=float)), [0]])
 
     def bucket(self, word: str) -> int:
         return self.first + zlib.crc32(word.encode()) % self.others
@@ -107,16 +110,13 @@ class Coder(dict):
         return -1
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float, list[int]]:
-        """(ids of the words, sum of the logarithms of the known counts in buckets, hashes of the unknown words)."""
+        """(ids of the words, two bytes each, sum of the logarithms of the known counts in buckets, hashes of the unknown words)."""
         found, self.unknown = words(text), []
         codes = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
-        if not self.unknown:
-            return self.ids[codes], float(self.logs[codes].sum()), []
-        unknown, known = codes < 0, codes[codes >= 0]
-        ids = np.empty(len(codes), dtype=np.int64)
-        ids[~unknown] = self.ids[known]
-        ids[unknown] = [self.bucket(w) for w in self.unknown]
-        return ids, float(self.logs[known].sum()), [word_hash(w) for w in self.unknown]
+        ids, logs = np.take(self.ids, codes), float(np.take(self.logs, codes).sum())
+        if self.unknown:
+            ids[codes < 0] = [self.bucket(w) for w in self.unknown]
+        return ids, logs, [word_hash(w) for w in self.unknown]
 
 
 def word_hash(word: str) -> int:
@@ -182,102 +182,177 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(ids != PAD)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
-    z -= z.max(axis=1, keepdims=True)
+def _softmax(z: np.ndarray, low: bool = False) -> np.ndarray:
+    """Of each row, in place; ``low``: no entry goes beyond ``LOW``."""
+    if not low:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= np.einsum("ij->i", z)[:, None]
+    z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log probability of one column per row; each row goes by its own greatest value."""
-    top = z.max(axis=1, keepdims=True)
-    z -= top
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, low: bool = False) -> np.ndarray:
+    """The log probability of one column per row; each row goes by its own greatest value, unless no entry goes beyond
+    ``LOW``."""
+    if not low:
+        z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), at].astype(np.float64)
     np.exp(z, out=z)
-    return own - np.log(np.einsum("ij->i", z))
+    return own - np.log(z.sum(axis=1))
 
 
 def _short(x: np.ndarray) -> np.ndarray:
-    """Ids, and the pad, in two bytes: these are sorted fastest."""
+    """Ids in two bytes: these are sorted fastest."""
     return x.astype(np.uint16)
 
 
-def _forward(w: Weights, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the tokens by class, (class, from, to) within that order, and in that order hidden states and the
-    logits of classes and of tokens within their class)."""
-    side = len(w["word"])
-    of = ids[rows] // side
-    order = np.argsort(_short(of), kind="stable")
+class Joined(NamedTuple):
+    """Weights as they are worked with: embeddings of an id together, by offset; those of the classes, and of the tokens
+    within each class, with the biases as their last column."""
+
+    table: np.ndarray
+    classes: np.ndarray
+    within: np.ndarray
+
+    @classmethod
+    def of(cls, w: Weights) -> Joined:
+        classes = np.concatenate([w["class"].T, w["class_bias"][:, None]], axis=1)
+        within = np.concatenate([w["word"].transpose(0, 2, 1), w["word_bias"][:, :, None]], axis=2)
+        return cls(np.ascontiguousarray(w["in"].transpose(1, 0, 2)), classes, within)
+
+    def named(self) -> Weights:
+        """Views of all weights."""
+        return {
+            "in": self.table.transpose(1, 0, 2),
+            "class": self.classes[:, :-1].T,
+            "class_bias": self.classes[:, -1],
+            "word": self.within[:, :, :-1].transpose(0, 2, 1),
+            "word_bias": self.within[:, :, -1],
+        }
+
+    def low(self) -> bool:
+        """Whether no logit can go beyond ``LOW``: hidden states are within -1 and 1."""
+        return all(np.abs(x).sum(axis=-1).max() < LOW for x in (self.classes, self.within))
+
+    def logits(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the classes and of the tokens within their class. Memory goes by columns, which are long: sums and
+        greatest values of short rows cost several times more."""
+        p = self.classes @ h
+        q = np.empty_like(p)
+        for c, a, b in runs:
+            np.matmul(self.within[c], h[:, a:b], out=q[:, a:b])
+        return p.T, q.T
+
+
+def _by_class(ids: np.ndarray, rows: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the tokens by class, and in that order their places, classes, and numbers within their class)."""
+    of = _short(ids[rows] // side)
+    order = np.argsort(of, kind="stable")
     rows, of = rows[order], of[order]
-    h = np.tanh(sum(w["in"][k][ids[rows + o]] for k, o in enumerate(OFFSETS)))
-    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    parts = list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(rows)]))
-    within = w["word_bias"][of]
-    for c, a, b in parts:
-        within[a:b] += h[a:b] @ w["word"][c]
-    return order, parts, h, h @ w["class"] + w["class_bias"], within
+    return order, rows, of, ids[rows] - of.astype(np.int64) * side
+
+
+def _hidden(flat: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """Hidden states of tokens with their neighbours' rows in ``flat``, and a last column of ones, for the biases."""
+    out = np.ones((len(near[0]), flat.shape[1] + 1), dtype=flat.dtype)
+    x = np.take(flat, near[0], axis=0)
+    for rows in near[1:]:
+        x += np.take(flat, rows, axis=0)
+    np.tanh(x, out=out[:, :-1])
+    return out
+
+
+def _blocks(of: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(from, to, [(class, from, to) within the block]) of tokens in order of their classes."""
+    for a in range(0, len(of), BLOCK):
+        x = of[a : a + BLOCK]
+        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+        yield a, a + len(x), list(zip(x[cuts[:-1]].tolist(), cuts, cuts[1:]))
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each token at ``at``, from its neighbours."""
-    out, side = np.empty(len(at)), len(w["word"])
-    for a in range(0, len(at), BATCH):
-        rows = at[a : a + BATCH]
-        order, _, _, classes, within = _forward(w, ids, rows)
-        target = ids[rows[order]]
-        out[a + order] = _log_softmax_at(classes, target // side) + _log_softmax_at(within, target % side)
+    out, side, x = np.empty(len(at)), len(w["word"]), Joined.of(w)
+    flat, low = x.table.reshape(-1, x.table.shape[2]), x.low()
+    for first in range(0, len(at), SORTED):
+        order, rows, of, place = _by_class(ids, at[first : first + SORTED], side)
+        # the pad's rows are the last ones
+        h = np.ascontiguousarray(_hidden(flat, [ids[rows + o] * len(OFFSETS) + k for k, o in enumerate(OFFSETS)]).T)
+        for a, b, runs in _blocks(of):
+            p, q = x.logits(h[:, a:b], runs)
+            out[first + order[a:b]] = _log_softmax_at(p, of[a:b], low) + _log_softmax_at(q, place[a:b], low)
     return out
 
 
+def _gradients(x: Joined, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, Joined]:
+    """(ids with a gradient, gradients of the mean negative log probability of the tokens at ``rows``; of the embeddings,
+    those of these ids)."""
+    n, side, first = len(rows), len(x.within), rows.min() - WINDOW
+    around = ids[first : rows.max() + WINDOW + 1]
+    _, rows, of, place = _by_class(ids, rows, side)
+    number = np.zeros(len(x.table), dtype=np.int64)
+    number[around] = 1
+    met = np.flatnonzero(number)
+    number[met] = np.arange(len(met))
+    around, rows = number[around], rows - first
+    near = [around[rows + o] for o in OFFSETS]
+    flat = np.take(x.table, met, axis=0).reshape(-1, x.table.shape[2])
+    by_row = _hidden(flat, [at * len(OFFSETS) + k for k, at in enumerate(near)])
+    h, low, each = np.ascontiguousarray(by_row.T), x.low(), np.arange(BLOCK)
+    classes, within, dh = np.zeros_like(x.classes), np.zeros_like(x.within), np.empty_like(h[:-1])
+    for a, b, runs in _blocks(of):
+        d = dh[:, a:b]
+        p, q = x.logits(h[:, a:b], runs)
+        for z, at in ((p, of[a:b]), (q, place[a:b])):
+            _softmax(z, low)[each[: b - a], at] -= 1
+        classes += p.T @ by_row[a:b]
+        for c, i, j in runs:
+            within[c] += q[i:j].T @ by_row[a + i : a + j]
+            np.matmul(x.within[c, :, :-1].T, q[i:j].T, out=d[:, i:j])
+        d += x.classes[:, :-1].T @ p.T
+    classes /= n
+    within /= n
+    dh *= (1 - h[:-1] * h[:-1]) / n
+    table = np.empty((len(met), *x.table.shape[1:]), dtype=dh.dtype)
+    summed = dh.astype(np.float64)
+    for k, at in enumerate(near):
+        table[:, k] = np.array([np.bincount(at, d, len(met)) for d in summed]).T
+    return met, Joined(table, classes, within)
+
+
 def gradients(w: Weights, ids: np.ndarray, rows: np.ndarray) -> Iterator[tuple[str, np.ndarray, object]]:
-    """Gradients of the mean negative log probability of the tokens at ``rows``: (weights, gradient, what part of them).
-    Weights may be changed by a gradient once the next one is asked for: they aren't used again."""
-    n, side = len(rows), len(w["word"])
-    order, parts, h, classes, within = _forward(w, ids, rows)
-    rows = rows[order]
-    target, each = ids[rows], np.arange(n)
-    p, q = _softmax(classes), _softmax(within)
-    for x, at in ((p, target // side), (q, target % side)):
-        x[each, at] -= 1
-        x /= n
-    dh = p @ w["class"].T
-    told = np.empty((len(parts), h.shape[1], side), dtype=h.dtype)
-    for i, (c, a, b) in enumerate(parts):
-        dh[a:b] += q[a:b] @ w["word"][c].T
-        np.matmul(h[a:b].T, q[a:b], out=told[i])
-    of = np.array([c for c, _, _ in parts])
-    yield "word", told, of
-    yield "word_bias", np.add.reduceat(q, [a for _, a, _ in parts], axis=0), of
-    yield "class", h.T @ p, ...
-    yield "class_bias", p.sum(axis=0), ...
-    dh *= 1 - h * h
-    ids_in, width = w["in"].shape[1:]
-    for k, o in enumerate(OFFSETS):
-        x = ids[rows + o]
-        if ids_in <= 2 * n:  # sums of all rows at once, the pad's last
-            at = (x % ids_in)[:, None] * width + np.arange(width)
-            yield "in", np.bincount(at.ravel(), dh.ravel(), ids_in * width).reshape(ids_in, width).astype(dh.dtype), k
-            continue
-        order = np.argsort(_short(x), kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-        yield "in", np.add.reduceat(dh[order], cuts, axis=0), (k, x[order][cuts])
+    """Gradients of the mean negative log probability of the tokens at ``rows``, by the names of the weights: (weights,
+    gradient, what part of them)."""
+    met, found = _gradients(Joined.of(w), ids, rows)
+    for key, gradient in found.named().items():
+        yield key, gradient, (slice(None), met) if key == "in" else ...
+
+
+def _adagrad(w: np.ndarray, seen: np.ndarray, gradient: np.ndarray) -> None:
+    seen += gradient * gradient
+    step = np.sqrt(seen)
+    np.divide(gradient, step, out=step)
+    step *= RATE
+    w -= step
 
 
 class Trainer:
     """Adagrad over minibatches, as documents come."""
 
     def __init__(self, weights: Weights):
-        self.w = {k: v.copy() for k, v in weights.items()}
-        self.seen = {k: np.full_like(v, 1e-3) for k, v in weights.items()}
+        self.joined = Joined.of(weights)
+        self.seen = Joined(*(np.full_like(x, 1e-3) for x in self.joined))
+        self.w = self.joined.named()
         self.tokens = 0
 
     def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
         for a in range(0, len(at), BATCH):
-            for key, gradient, part in gradients(self.w, ids, at[a : a + BATCH]):
-                self.seen[key][part] += gradient * gradient
-                self.w[key][part] -= RATE * gradient / np.sqrt(self.seen[key][part])
+            met, found = _gradients(self.joined, ids, at[a : a + BATCH])
+            _adagrad(self.joined.classes, self.seen.classes, found.classes)
+            _adagrad(self.joined.within, self.seen.within, found.within)
+            table, seen = self.joined.table[met], self.seen.table[met]
+            _adagrad(table, seen, found.table)
+            self.joined.table[met], self.seen.table[met] = table, seen
         self.tokens += len(at)
 
 
@@ -339,7 +414,7 @@ def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
         for batch in batches:
             found = [coder.encode(text) for text in batch.column(3).to_pylist()]
             n = pa.array([len(ids) for ids, _, _ in found], pa.int64())
-            ids = pa.array([ids.astype(np.uint16).tobytes() for ids, _, _ in found], pa.binary())
+            ids = pa.array([ids.tobytes() for ids, _, _ in found], pa.binary())
             rare = pa.array([x for _, _, x in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, pa.array([x for _, x, _ in found], pa.float64()), ids, rare], names=["doc_id", "_text_id", "_key", "n_tokens", "_known", "_ids", "_rare"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -336,3 +337,55 @@ def test_models_of_other_partitions_are_the_same(docs, monkeypatch):
     rows = docs.select("doc_id", docs["text"].alias("_text"))
     a, b = lm_scoring.fit(rows.repartition(2)), lm_scoring.fit(rows.repartition(5))
     assert a.words == b.words and all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)
+
+
+def weights(rng, side, spread):
+    w = lm_scoring.start(rng.integers(1, 50, side * side).astype(float))
+    return {k: v + rng.normal(0, spread, v.shape).astype(np.float32) for k, v in w.items()}
+
+
+def test_scoring_holds_the_logits_of_few_tokens():
+    """Those of a whole batch are beyond a core's cache, and much of the time went by there."""
+    rng = np.random.default_rng(7)
+    w = weights(rng, 78, 0.1)
+    ids, at = lm_scoring.padded([rng.integers(0, 78 * 78, lm_scoring.BATCH)])
+    whole = lm_scoring.BATCH * 78 * 4
+    lm_scoring.log_probabilities(w, ids, at)
+    tracemalloc.start()
+    lm_scoring.log_probabilities(w, ids, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * whole  # copies of the weights are most of it; logits of classes and within them would be 2
+
+
+@pytest.mark.parametrize("spread", [0.3, 9.0])
+def test_blocks_and_great_logits_change_nothing(monkeypatch, spread):
+    rng = np.random.default_rng(8)
+    w = weights(rng, 6, spread)
+    ids, at = lm_scoring.padded([rng.integers(0, 36, n) for n in (40, 1, 0, 90)])
+    assert lm_scoring.Joined.of(w).low() == (spread < 1)
+    want, told = lm_scoring.log_probabilities(w, ids, at), list(lm_scoring.gradients(w, ids, at))
+    assert np.isfinite(want).all()
+    for low, block, together in ((0, 512, 32768), (lm_scoring.LOW, 7, 50)):
+        for name, value in (("LOW", low), ("BLOCK", block), ("SORTED", together)):
+            monkeypatch.setattr(lm_scoring, name, value)
+        assert lm_scoring.log_probabilities(w, ids, at) == pytest.approx(want, rel=1e-4, abs=1e-4)
+        for (key, a, _), (other, b, _) in zip(told, lm_scoring.gradients(w, ids, at)):
+            assert key == other and np.allclose(a, b, atol=1e-5)
+
+
+def test_training_goes_by_the_gradients(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH", 50)
+    rng = np.random.default_rng(9)
+    w = weights(rng, 6, 0.1)
+    ids, at = lm_scoring.padded([rng.integers(0, 36, n) for n in (70, 3, 60)])
+    trainer = lm_scoring.Trainer(w)
+    trainer.learn(ids, at)
+    want, seen = {k: v.copy() for k, v in w.items()}, {k: np.full_like(v, 1e-3) for k, v in w.items()}
+    for a in range(0, len(at), 50):
+        for key, gradient, part in list(lm_scoring.gradients(want, ids, at[a : a + 50])):
+            seen[key][part] += gradient**2
+            want[key][part] -= lm_scoring.RATE * gradient / np.sqrt(seen[key][part])
+    assert trainer.tokens == len(at)
+    for key in want:
+        assert np.allclose(trainer.w[key], want[key], atol=1e-4) and not np.allclose(want[key], w[key], atol=1e-3)
