@@ -92,37 +92,46 @@ class Vocabulary(dict):
 
 
 class Coder(dict):
-    """Word to code: the id of a word with its own, then the places of the known words of buckets."""
+    """Word to code, in four bytes: the id of a word with its own, then the places of the known words of buckets."""
 
     def __init__(self, ranked: list[str], known: list[str], counts: list[int]):
-        super().__init__({w: i for i, w in enumerate([*ranked, *known])})
+        codes = np.arange(len(ranked) + len(known), dtype=np.int32).tobytes()
+        super().__init__({w: codes[4 * i : 4 * i + 4] for i, w in enumerate([*ranked, *known])})
         vocabulary = Vocabulary(ranked)
         self.first, self.others, self.unknown = vocabulary.first, vocabulary.others, []
         # with fewer words than the least vocabulary has, some ids stand for none; the last place is that of unknown words
-        ids = np.concatenate([np.arange(len(ranked)), np.array([self.bucket(w) for w in known], dtype=np.int64), [0]])
+        ids = np.concatenate([np.arange(len(ranked)), np.array(self.buckets([w.encode() for w in known]), dtype=np.int64), [0]])
         self.ids, self.logs = ids.astype(np.uint16), np.concatenate([np.zeros(len(ranked)), np.log(np.array(counts, dtype=float)), [0]])
 
-    def bucket(self, word: str) -> int:
-        return self.first + zlib.crc32(word.encode()) % self.others
+    def buckets(self, raw: list[bytes]) -> list[int]:
+        first, others, crc32 = self.first, self.others, zlib.crc32
+        return [first + crc32(x) % others for x in raw]
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         self.unknown.append(word)
-        return -1
+        return b"\xff\xff\xff\xff"
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float, list[int]]:
-        """(ids of the words, two bytes each, sum of the logarithms of the known counts in buckets, hashes of the unknown words)."""
-        found, self.unknown = words(text), []
-        codes = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        """(ids of the words, two bytes each, sum of the logarithms of the known counts in buckets, hashes of the unknown
+        words)."""
+        self.unknown = []
+        codes = np.frombuffer(b"".join(map(self.__getitem__, words(text))), np.int32)
         ids, logs = np.take(self.ids, codes), float(np.take(self.logs, codes).sum())
-        if self.unknown:
-            ids[codes < 0] = [self.bucket(w) for w in self.unknown]
-        return ids, logs, [word_hash(w) for w in self.unknown]
+        if not self.unknown:
+            return ids, logs, []
+        raw = [w.encode() for w in self.unknown]
+        ids[codes < 0] = self.buckets(raw)
+        return ids, logs, hashes(raw)
+
+
+def hashes(raw: list[bytes]) -> list[int]:
+    """What Spark's xxhash64 says of words."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(x, 42) for x in raw], dtype=np.uint64).view(np.int64).tolist()
 
 
 def word_hash(word: str) -> int:
-    """What Spark's xxhash64 says of the word."""
-    x = xxhash.xxh64_intdigest(word.encode(), 42)
-    return x - (1 << 64) if x >> 63 else x
+    return hashes([word.encode()])[0]
 
 
 Weights = dict[str, np.ndarray]
@@ -407,10 +416,11 @@ def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
     """Of each row of ``docs`` (doc_id, _text): doc_id, _text_id (128 bits that name the text), _key (64 bits of id and
     text), n_tokens, _known (the sum of the logarithms of known counts), _ids (two bytes a token), _rare (hashes of
     the words whose counts have to be joined)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words[0:1] + words[2:4])
+    # made once here, and unpacked once in a worker
+    shared = docs.sparkSession.sparkContext.broadcast(Coder(words.words, words.known, words.known_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*shared.value)
+        coder = shared.value
         for batch in batches:
             found = [coder.encode(text) for text in batch.column(3).to_pylist()]
             n = pa.array([len(ids) for ids, _, _ in found], pa.int64())
